@@ -84,3 +84,231 @@ def iqr_outliers(df: DataFrame, columns, threshold: float = 1.5, dp: int = 2) ->
                    F.round("lower", dp).alias("Lower_bound"),
                    F.round("upper", dp).alias("Upper_bound")))
     return out.orderBy(F.desc("Outlier_count"), "Feature")
+
+
+def boxplot_stats(df: DataFrame, group: str, value: str, whis: float = 1.5) -> DataFrame:
+    """AGG5: per group Q1, median, Q3 (exact), whiskers = most extreme
+    points inside [Q1 - whis·IQR, Q3 + whis·IQR], and the flier count."""
+    q = exact_quantiles(df, [value], [0.25, 0.5, 0.75], by=[group])
+    qw = q.groupBy(group).agg(*[F.max(F.when(F.col("p") == p, F.col("q"))).alias(n)
+                                for p, n in ((0.25, "q1"), (0.5, "median"), (0.75, "q3"))])
+    iqr = F.col("q3") - F.col("q1")
+    qw = qw.withColumns({"_lo": F.col("q1") - whis * iqr, "_hi": F.col("q3") + whis * iqr})
+    v = F.col(value)
+    inside = (v >= F.col("_lo")) & (v <= F.col("_hi"))
+    agg = (df.select(group, value).filter(v.isNotNull()).join(qw.select(group, "_lo", "_hi"), group)
+           .groupBy(group).agg(F.min(F.when(inside, v)).alias("whisker_lo"),
+                               F.max(F.when(inside, v)).alias("whisker_hi"),
+                               F.count_if(~inside).alias("n_fliers")))
+    return qw.drop("_lo", "_hi").join(agg, group, "left")
+
+
+def skewness_table(df: DataFrame, columns, dp: int = 2) -> DataFrame:
+    """AGG7: adjusted (pandas) skewness per column, sorted desc."""
+    wide = df.agg(*[adjusted_skew(c).alias(c) for c in columns])
+    return (wide.unpivot([], list(columns), "Feature", "Skewness")
+            .withColumn("Skewness", F.round("Skewness", dp))
+            .orderBy(F.desc_nulls_last("Skewness"), "Feature"))
+
+
+def histogram(df: DataFrame, columns, bins: int = 20) -> DataFrame:
+    """AGG8: equal-width bins over [min, max] per column (last bin closed),
+    every bin reported (zero counts included).  min/max are fitted
+    parameters (two numbers per column); the count is one aggregate over
+    the long (Feature, value) rows."""
+    spark = df.sparkSession
+    mm = df.agg(*[F.min(c).alias(f"{c}__min") for c in columns],
+                *[F.max(c).alias(f"{c}__max") for c in columns]).first()
+    par = spark.createDataFrame(
+        [(c, float(mm[f"{c}__min"]), float(mm[f"{c}__max"])) for c in columns
+         if mm[f"{c}__min"] is not None],
+        "Feature string, _min double, _max double")
+    long = df.select(*[F.col(c).cast("double").alias(c) for c in columns]).unpivot(
+        [], list(columns), "Feature", "_v").filter(F.col("_v").isNotNull())
+    width = (F.col("_max") - F.col("_min")) / bins
+    b = F.when(width == 0, F.lit(0)).otherwise(
+        F.least(F.floor((F.col("_v") - F.col("_min")) / width), F.lit(bins - 1))).cast("int")
+    counts = long.join(F.broadcast(par), "Feature").groupBy("Feature", b.alias("bin")).agg(
+        F.count(F.lit(1)).alias("count"))
+    grid = par.select("Feature", "_min", "_max",
+                      F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
+    w = (F.col("_max") - F.col("_min")) / bins
+    return (grid.join(counts, ["Feature", "bin"], "left")
+            .select("Feature", "bin", (F.col("_min") + F.col("bin") * w).alias("lower"),
+                    (F.col("_min") + (F.col("bin") + 1) * w).alias("upper"),
+                    F.coalesce(F.col("count"), F.lit(0)).cast("long").alias("count")))
+
+
+def kde_curve(df: DataFrame, column: str, gridsize: int = 200, bins: int = 20) -> DataFrame:
+    """AGG9: Gaussian KDE with Scott's bandwidth (h = σ·n^(-1/5), σ the
+    sample std), evaluated on ``gridsize`` points over [min, max], scaled
+    to histogram counts (density · n · bin width).
+
+    Exact: values are first collapsed to (value, multiplicity) — map-side
+    partial aggregation — then each distinct value adds its kernel to
+    every grid point (``gridsize`` terms per distinct value, summed by a
+    grouped aggregate on the grid index)."""
+    st = df.agg(F.count(column).alias("n"), F.stddev_samp(column).alias("s"),
+                F.min(column).alias("lo"), F.max(column).alias("hi")).first()
+    n, s, lo, hi = st["n"], st["s"], st["lo"], st["hi"]
+    spark = df.sparkSession
+    if not n or s is None or s == 0:
+        return spark.createDataFrame([], "g int, x double, density double, count_scaled double")
+    h = s * n ** (-0.2)
+    step = (hi - lo) / (gridsize - 1)
+    distinct = df.groupBy(F.col(column).cast("double").alias("_v")).agg(
+        F.count(F.lit(1)).alias("_m")).filter(F.col("_v").isNotNull())
+    g = F.explode(F.sequence(F.lit(0), F.lit(gridsize - 1))).alias("g")
+    x = F.lit(lo) + F.col("g") * F.lit(step)
+    u = (x - F.col("_v")) / F.lit(h)
+    contrib = distinct.select("_m", "_v", g).withColumn("_k", F.col("_m") * F.exp(-0.5 * u * u))
+    dens = contrib.groupBy("g").agg(F.sum("_k").alias("_s"))
+    norm = 1.0 / (n * h * (2 * 3.141592653589793) ** 0.5)
+    bw = (hi - lo) / bins
+    return dens.select("g", (F.lit(lo) + F.col("g") * F.lit(step)).alias("x"),
+                       (F.col("_s") * norm).alias("density"),
+                       (F.col("_s") * norm * n * bw).alias("count_scaled"))
+
+
+def corr_matrix(df: DataFrame, columns) -> DataFrame:
+    """AGG10: Pearson matrix, pairwise-complete, long (f1, f2, r).  One
+    aggregate of the k(k+1)/2 pairs; NULL for a constant column (no
+    divide-by-zero)."""
+    columns = list(columns)
+    pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i:]]
+    wide = df.agg(*[safe_corr(a, b).alias(f"{i}") for i, (a, b) in enumerate(pairs)])
+    names = [f"{i}" for i in range(len(pairs))]
+    long = wide.unpivot([], names, "_i", "r")
+    spark = df.sparkSession
+    idx = spark.createDataFrame([(str(i), a, b) for i, (a, b) in enumerate(pairs)] +
+                                [(str(i), b, a) for i, (a, b) in enumerate(pairs) if a != b],
+                                "_i string, f1 string, f2 string")
+    return F.broadcast(idx).join(long, "_i").select("f1", "f2", "r")
+
+
+def moment_matrix(df: DataFrame, columns):
+    """Listwise-complete (n, means, covariance) of ``columns`` as NumPy —
+    k + k(k+1)/2 sums in one aggregate; the driver receives O(k²)
+    numbers whatever the row count."""
+    import numpy as np
+    columns = list(columns)
+    cc = df.select(*[F.col(c).cast("double").alias(c) for c in columns]).dropna()
+    pairs = [(i, j) for i in range(len(columns)) for j in range(i, len(columns))]
+    row = cc.agg(F.count(F.lit(1)).alias("n"),
+                 *[F.avg(c).alias(f"m{i}") for i, c in enumerate(columns)],
+                 *[F.covar_pop(columns[i], columns[j]).alias(f"c{i}_{j}") for i, j in pairs]).first()
+    k = len(columns)
+    mean = np.array([row[f"m{i}"] or 0.0 for i in range(k)])
+    cov = np.zeros((k, k))
+    for i, j in pairs:
+        cov[i, j] = cov[j, i] = row[f"c{i}_{j}"] or 0.0
+    return int(row["n"]), mean, cov
+
+
+def vif_from_cov(cov, columns) -> list:
+    """VIF_j = [R⁻¹]_jj with R the correlation matrix (= 1/(1-R²_j) of
+    regressing j on the others with an intercept)."""
+    import numpy as np
+    sd = np.sqrt(np.diag(cov))
+    with np.errstate(divide="ignore", invalid="ignore"):
+        r = cov / np.outer(sd, sd)
+    inv = np.linalg.pinv(r)
+    return [(c, float(inv[i, i])) for i, c in enumerate(columns)]
+
+
+def vif(df: DataFrame, columns) -> DataFrame:
+    """AGG11: variance inflation factor per column (listwise deletion, with
+    intercept), sorted desc."""
+    _, _, cov = moment_matrix(df, columns)
+    rows = vif_from_cov(cov, columns)
+    return (df.sparkSession.createDataFrame(rows, "Feature string, VIF double")
+            .orderBy(F.desc("VIF"), "Feature"))
+
+
+def vif_drop_loop(df: DataFrame, columns, threshold: float = 10.0, max_drop: int | None = None):
+    """AGG12: repeatedly drop the highest-VIF column while it exceeds
+    ``threshold``; one data pass (the covariance), the loop runs on the
+    k x k matrix.  Returns (kept columns, dropped [(col, vif)])."""
+    import numpy as np
+    columns = list(columns)
+    _, _, cov = moment_matrix(df, columns)
+    idx = list(range(len(columns)))
+    dropped = []
+    while len(idx) > 1 and (max_drop is None or len(dropped) < max_drop):
+        sub = cov[np.ix_(idx, idx)]
+        v = vif_from_cov(sub, [columns[i] for i in idx])
+        worst = max(range(len(v)), key=lambda i: v[i][1])
+        if v[worst][1] <= threshold:
+            break
+        dropped.append(v[worst])
+        idx.pop(worst)
+    return [columns[i] for i in idx], dropped
+
+
+def describe(df: DataFrame, columns) -> DataFrame:
+    """AGG13: count / mean / std / min / quartiles / max per column, long,
+    exact quartiles."""
+    columns = list(columns)
+    base = df.agg(*[F.struct(F.count(c).alias("count"), F.avg(c).alias("mean"),
+                             F.stddev_samp(c).alias("std"),
+                             F.min(F.col(c).cast("double")).alias("min"),
+                             F.max(F.col(c).cast("double")).alias("max")).alias(c)
+                    for c in columns])
+    long = base.unpivot([], columns, "Feature", "s").select("Feature", "s.*")
+    q = exact_quantiles(df, columns, [0.25, 0.5, 0.75])
+    qw = q.groupBy("Feature").agg(*[F.max(F.when(F.col("p") == p, F.col("q"))).alias(n)
+                                    for p, n in ((0.25, "q25"), (0.5, "q50"), (0.75, "q75"))])
+    return long.join(qw, "Feature", "left").select(
+        "Feature", "count", "mean", "std", "min", "q25", "q50", "q75", "max")
+
+
+def contingency(df: DataFrame, a: str, b: str) -> DataFrame:
+    """AGG22: counts per (a, b) pair."""
+    return df.groupBy(a, b).agg(F.count(F.lit(1)).alias("n"))
+
+
+def ari_nmi(df: DataFrame, truth: str, pred: str) -> DataFrame:
+    """AGG23: Adjusted Rand index and normalized mutual information
+    (arithmetic-mean normalisation) between two labelings.
+
+    Everything comes from the contingency table (#labels² rows, never
+    #rows² pairs): row/column sums by windows over it, then one aggregate.
+    """
+    ct = contingency(df.filter(F.col(truth).isNotNull() & F.col(pred).isNotNull()), truth, pred)
+    nn = F.col("n").cast("double")
+    ct = ct.withColumns({
+        "a": F.sum(nn).over(W.partitionBy(truth)),
+        "b": F.sum(nn).over(W.partitionBy(pred)),
+        "fa": F.row_number().over(W.partitionBy(truth).orderBy(pred)) == 1,
+        "fb": F.row_number().over(W.partitionBy(pred).orderBy(truth)) == 1,
+    })
+
+    def comb(x):
+        return x * (x - 1) / 2
+
+    a, b = F.col("a"), F.col("b")
+    s = ct.agg(F.sum(nn).alias("N"), F.sum(comb(nn)).alias("sij"),
+               F.sum(F.when(F.col("fa"), comb(a))).alias("sa"),
+               F.sum(F.when(F.col("fb"), comb(b))).alias("sb"),
+               F.sum(F.when(F.col("fa"), a * F.log(a))).alias("ha_raw"),
+               F.sum(F.when(F.col("fb"), b * F.log(b))).alias("hb_raw"),
+               F.sum(nn * (F.log(nn) - F.log(a) - F.log(b))).alias("mi_raw"))
+    n = F.col("N")
+    expected = F.col("sa") * F.col("sb") / comb(n)
+    maxi = (F.col("sa") + F.col("sb")) / 2
+    ari = F.when(maxi == expected, F.lit(1.0)).otherwise(
+        (F.col("sij") - expected) / (maxi - expected))
+    mi = F.col("mi_raw") / n + F.log(n)
+    ha = F.log(n) - F.col("ha_raw") / n
+    hb = F.log(n) - F.col("hb_raw") / n
+    nmi = F.when((F.abs(ha) < 1e-15) & (F.abs(hb) < 1e-15), F.lit(1.0)).otherwise(
+        F.greatest(mi, F.lit(0.0)) / ((ha + hb) / 2))
+    return s.select(ari.alias("ARI"), nmi.alias("NMI"))
+
+
+def lag1_autocorr(df: DataFrame, entity: str, period: str, value: str) -> DataFrame:
+    """AGG25: pooled correlation of y with its previous-period value."""
+    w = W.partitionBy(entity).orderBy(period)
+    d = df.withColumn("_lag", F.lag(value).over(w))
+    return d.agg(safe_corr(value, "_lag").alias("lag1_autocorr"),
+                 F.count(F.col("_lag")).alias("n_pairs"))

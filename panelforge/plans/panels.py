@@ -109,3 +109,27 @@ def customer_quarter_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (facts.groupBy(F.col("o_custkey").alias("Code"), period,
                           F.col("c_nationkey").alias("Group"))
             .agg(*_panel_aggs()))
+
+
+# ----------------------------------------------------------------------------
+# Deterministic pseudo-model predictions (oracle-reproducible inputs for the
+# metric / report / chart operators): temporal split of P1; model "lag1"
+# predicts the previous period's target, model "train_mean" the entity's
+# mean train target.  Rows: (Model, Split, Code, Country, Region, Year,
+# actual, predicted) for the Test and Val splits.
+def pseudo_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import Window as W
+    from panelforge.operators.splits import temporal_split
+    p = temporal_split(nation_year_panel(spark, sf_dir), "Year")
+    w = W.partitionBy("Code").orderBy("Year")
+    p = p.withColumn("_lag", F.lag("target").over(w))
+    tm = (p.filter(F.col("split") == "train").groupBy("Code")
+          .agg(F.avg("target").alias("_tm")))
+    p = p.join(tm, "Code", "left").filter(F.col("split") != "train")
+    split = F.when(F.col("split") == "test", "Test").otherwise("Val")
+    keep = ["Code", "Country", "Region", "Year", F.col("target").alias("actual")]
+    a = p.select(F.lit("lag1").alias("Model"), split.alias("Split"), *keep,
+                 F.col("_lag").alias("predicted"))
+    b = p.select(F.lit("train_mean").alias("Model"), split.alias("Split"), *keep,
+                 F.col("_tm").alias("predicted"))
+    return a.unionByName(b).filter(F.col("predicted").isNotNull())

@@ -48,3 +48,22 @@ p2 AS (
 
 def with_(*ctes: str) -> str:
     return "WITH " + ",\n".join(c.strip() for c in ctes) + "\n"
+
+SPLIT_CTE = """
+yr AS (SELECT Year, row_number() OVER (ORDER BY Year) - 1 AS pos, count(*) OVER () AS n
+       FROM (SELECT DISTINCT Year FROM p1 WHERE Year IS NOT NULL)),
+ysplit AS (SELECT Year, CASE WHEN pos < floor(n * CAST(0.70 AS DOUBLE)) THEN 'train'
+                             WHEN pos < floor(n * CAST(0.85 AS DOUBLE)) THEN 'test'
+                             ELSE 'val' END AS split FROM yr),
+ps AS (SELECT p1.*, ysplit.split FROM p1 LEFT JOIN ysplit USING (Year)),
+pl AS (SELECT *, lag(target) OVER (PARTITION BY Code ORDER BY Year) AS _lag,
+              avg(CASE WHEN split = 'train' THEN target END) OVER (PARTITION BY Code) AS _tm FROM ps),
+pred AS (
+  SELECT 'lag1' AS Model, CASE WHEN split = 'test' THEN 'Test' ELSE 'Val' END AS Split,
+         Code, Country, Region, Year, target AS actual, _lag AS predicted
+  FROM pl WHERE split <> 'train' AND _lag IS NOT NULL
+  UNION ALL
+  SELECT 'train_mean', CASE WHEN split = 'test' THEN 'Test' ELSE 'Val' END,
+         Code, Country, Region, Year, target, _tm
+  FROM pl WHERE split <> 'train' AND _tm IS NOT NULL)
+"""
