@@ -37,10 +37,26 @@ def trend_by_group(df: DataFrame, period: str, group: str, target: str) -> DataF
 
 
 def median_rank(df: DataFrame, entity: str, value: str) -> DataFrame:
-    """AGG3: exact median per entity, highest first (rank column)."""
-    m = df.groupBy(entity).agg(F.median(value).alias("median"))
-    return m.withColumn("rank", F.row_number().over(
-        W.orderBy(F.desc("median"), F.col(entity))))
+    """AGG3: exact median per entity (distributed, no per-group buffer of
+    all values), ranked highest first (distributed rank)."""
+    from panelforge.operators.splits import global_rank
+    m = (exact_quantiles(df, [value], [0.5], by=[entity])
+         .select(entity, F.col("q").alias("median")))
+    r = global_rank(m.withColumn("_neg", -F.col("median")), ["_neg", entity], "rank")
+    return r.select(entity, "median", (F.col("rank") + 1).alias("rank"))
+
+
+def iqr_outlier_rows(df: DataFrame, columns, threshold: float = 1.5) -> DataFrame:
+    """AGG6b: per-row boolean flags ``{c}_outlier`` against the IQR bounds
+    (bounds fitted once, inlined as literals)."""
+    b = {r["Feature"]: (r["lower"], r["upper"])
+         for r in quantile_bounds(df, columns, threshold).collect()}
+    flags = {}
+    for c in columns:
+        lo, hi = b[c]
+        flags[f"{c}_outlier"] = F.coalesce((F.col(c) < F.lit(lo)) | (F.col(c) > F.lit(hi)),
+                                           F.lit(False))
+    return df.withColumns(flags)
 
 
 def quantile_bounds(df: DataFrame, columns, threshold: float = 1.5) -> DataFrame:

@@ -1,4 +1,5 @@
 """Imports every query module so that their ``@query`` registrations run."""
 
 from panelforge.plans import queries_relational  # noqa: F401
+from panelforge.plans import queries_stats  # noqa: F401
 from panelforge.plans.registry import ORACLES, QUERIES  # noqa: F401
