@@ -2,4 +2,5 @@
 
 from panelforge.plans import queries_relational  # noqa: F401
 from panelforge.plans import queries_stats  # noqa: F401
+from panelforge.plans import queries_time  # noqa: F401
 from panelforge.plans.registry import ORACLES, QUERIES  # noqa: F401
