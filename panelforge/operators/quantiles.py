@@ -26,6 +26,10 @@ from pyspark.sql import DataFrame, Window as W
 from pyspark.sql import functions as F
 
 DEFAULT_ACCURACY = 100_000
+# Inputs with at most this many values in total (rows x columns, checked
+# by a count) take Spark's one-pass exact ``percentile``: its buffer is
+# then provably small.  Larger inputs use the two-pass banded method.
+SMALL_INPUT_VALUES = 2_000_000
 
 
 def exact_quantiles(df: DataFrame, columns, probs, by=(), accuracy: int = DEFAULT_ACCURACY,
@@ -39,8 +43,10 @@ def exact_quantiles(df: DataFrame, columns, probs, by=(), accuracy: int = DEFAUL
     probs = [float(p) for p in probs]
     keys = by + [feature_col]
     long = (df.select(*by, *[F.col(c).cast("double").alias(c) for c in columns])
-            .unpivot(by, columns, feature_col, "_v") if columns else None)
+            .unpivot(by, columns, feature_col, "_v"))
     vals = long.filter(F.col("_v").isNotNull())
+    if df.count() * max(1, len(columns)) <= SMALL_INPUT_VALUES:
+        return _small_quantiles(long, keys, probs)
 
     delta = 3.0 / accuracy
     lo_p = [max(0.0, p - delta) for p in probs]
@@ -109,10 +115,29 @@ def exact_quantiles(df: DataFrame, columns, probs, by=(), accuracy: int = DEFAUL
     return out.unionByName(empty)
 
 
+def _small_quantiles(long: DataFrame, keys, probs) -> DataFrame:
+    """Bounded input: one aggregate with Spark's exact ``percentile``
+    (same linear interpolation); all-NULL groups give NULL."""
+    agg = long.groupBy(*keys).agg(
+        F.percentile(F.col("_v"), F.array(*[F.lit(p) for p in probs])).alias("_q"),
+        F.count("_v").alias("n"))
+    q = F.coalesce(F.col("_q"), F.array_repeat(F.lit(None).cast("double"), len(probs)))
+    return agg.select(*keys, "n", F.posexplode(q).alias("_i", "q")).select(
+        *keys, F.element_at(F.array(*[F.lit(p) for p in probs]), F.col("_i") + 1).alias("p"),
+        "q", "n")
+
+
 def quantile_row(df: DataFrame, columns, probs, accuracy: int = DEFAULT_ACCURACY) -> dict:
     """Fitted-parameter form: {column: [q(p) for p in probs]} on the driver
     (size = columns x probs, independent of the row count)."""
-    res = exact_quantiles(df, columns, probs, accuracy=accuracy).collect()
+    from pyspark import StorageLevel
+    cached = df.storageLevel != StorageLevel.NONE
+    src = df if cached else df.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        res = exact_quantiles(src, columns, probs, accuracy=accuracy).collect()
+    finally:
+        if not cached:
+            src.unpersist()
     out = {c: [None] * len(probs) for c in columns}
     idx = {float(p): i for i, p in enumerate(probs)}
     for r in res:

@@ -77,8 +77,12 @@ def nation_year_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     dim = (n.join(F.broadcast(r), n.n_regionkey == r.r_regionkey)
            .select(F.col("n_nationkey").alias("Code"), F.col("n_name").alias("Country"),
                    F.col("r_name").alias("Region")))
-    return (agg.join(F.broadcast(dim), "Code", "left")
-            .select("Country", "Code", "Region", "Year", "target", *P1_PREDICTORS))
+    out = (agg.join(F.broadcast(dim), "Code", "left")
+           .select("Country", "Code", "Region", "Year", "target", *P1_PREDICTORS))
+    # The panel (entities x periods) is small next to its inputs and is
+    # read by many operators: persist it once; an identical plan built by
+    # a later call hits the same cache entry.
+    return out.persist()
 
 
 def gap_rule(code, year):
