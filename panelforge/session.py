@@ -34,6 +34,10 @@ def get_spark(master: str | None = None, app: str = "panelforge",
         # bounded parameter rows.
         "spark.sql.autoBroadcastJoinThreshold": str(32 * 1024 * 1024),
     }
+    if master and master.startswith("local"):
+        # local mode: the driver JVM is the only executor (Spark's default
+        # heap is 1 GB); a cluster keeps its own sizing.
+        conf["spark.driver.memory"] = os.environ.get("PANELFORGE_DRIVER_MEMORY", "12g")
     if shuffle_partitions:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     conf.update(extra or {})
