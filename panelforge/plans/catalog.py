@@ -5,4 +5,5 @@ from panelforge.plans import queries_stats  # noqa: F401
 from panelforge.plans import queries_time  # noqa: F401
 from panelforge.plans import queries_cluster  # noqa: F401
 from panelforge.plans import queries_models  # noqa: F401
+from panelforge.plans import queries_forecast  # noqa: F401
 from panelforge.plans.registry import ORACLES, QUERIES  # noqa: F401

@@ -137,3 +137,16 @@ def pseudo_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = p.select(F.lit("train_mean").alias("Model"), split.alias("Split"), *keep,
                  F.col("_tm").alias("predicted"))
     return a.unionByName(b).filter(F.col("predicted").isNotNull())
+
+
+def nation_month_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P4 nation-month (forecasting fixture, ~80 periods per entity):
+    Code = nation key, Period = year*12 + month - 1, target = avg order
+    price, exogenous n_orders / urgent_share / qty_mean."""
+    facts = _order_facts(spark, sf_dir)
+    period = (F.year("o_orderdate") * 12 + F.month("o_orderdate") - 1).alias("Period")
+    agg = facts.groupBy(F.col("c_nationkey").alias("Code"), period).agg(
+        F.avg("o_totalprice").alias("target"), F.count(F.lit(1)).alias("n_orders"),
+        F.avg(F.when(F.col("o_orderpriority") == URGENT_PRIORITY, 1.0).otherwise(0.0)).alias("urgent_share"),
+        F.try_divide(F.sum("li_qty"), F.sum("li_n")).alias("qty_mean"))
+    return agg.persist()

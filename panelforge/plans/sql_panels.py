@@ -67,3 +67,17 @@ pred AS (
          Code, Country, Region, Year, target, _tm
   FROM pl WHERE split <> 'train' AND _tm IS NOT NULL)
 """
+
+P4_CTE = """
+p4 AS (
+  SELECT c_nationkey AS Code, CAST(year(o_orderdate) * 12 + month(o_orderdate) - 1 AS INTEGER) AS Period,
+         avg(o_totalprice) AS target, count(*) AS n_orders,
+         avg(CASE WHEN o_orderpriority = '1-URGENT' THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END) AS urgent_share,
+         sum(li_qty) / sum(li_n) AS qty_mean
+  FROM facts GROUP BY 1, 2),
+pyr AS (SELECT Period, row_number() OVER (ORDER BY Period) - 1 AS pos, count(*) OVER () AS n
+        FROM (SELECT DISTINCT Period FROM p4)),
+p4s AS (SELECT p4.*, CASE WHEN pos < floor(n * CAST(0.70 AS DOUBLE)) THEN 'train'
+                          WHEN pos < floor(n * CAST(0.85 AS DOUBLE)) THEN 'test' ELSE 'val' END AS split
+        FROM p4 JOIN pyr USING (Period))
+"""

@@ -29,6 +29,9 @@ def get_spark(master: str | None = None, app: str = "panelforge",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        # lag-by-join plans (forecasting) stack self-joins; constraint
+        # propagation is exponential there and only infers filters
+        "spark.sql.constraintPropagation.enabled": "false",
         # Broadcast only tables the planner can prove small; the explicit
         # broadcasts in this package are fixed-size dimensions or
         # bounded parameter rows.
