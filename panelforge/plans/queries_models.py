@@ -248,3 +248,23 @@ def q_ablation(spark, d):
         mt = met.metrics_table(pr).withColumn("variant", F.lit(tag))
         rows = mt if rows is None else rows.unionByName(mt)
     return rnd(rows)
+
+
+@query("stream_score", R(_SCALE_SQL + "SELECT Code, Year, " + f"{FIXED_INTERCEPT} + " + " + ".join(
+    f"{w} * {c}" for w, c in zip(FIXED_COEF, SCALE_COLS)) + " AS Predicted FROM scaled", ["Predicted"]))
+def q_stream_score(spark, d):
+    """ML11 on a stream: panel rows land as Parquet files (written by Spark
+    from the tables), a readStream scores them with the train-fitted
+    scaler and fixed coefficients, a checkpointed file sink collects the
+    output; the result is read back."""
+    from panelforge.session import scratch_path
+    from panelforge.streaming.scoring import score_stream
+    p = _split_p1(spark, d)
+    params = sc.fit_robust_scaler(p.filter("split = 'train'"), SCALE_COLS)
+    model = rg.Fitted("fixed", {}, rg.LinearExprModel(SCALE_COLS, FIXED_COEF, FIXED_INTERCEPT), SCALE_COLS)
+    base = scratch_path(spark, "stream")
+    rows = p.select("Code", "Year", *SCALE_COLS)
+    rows.repartition(4, "Year").write.parquet(base + "/in")
+    q = score_stream(spark, base + "/in", rows.schema, model, params, base + "/out", base + "/ckpt")
+    q.awaitTermination()
+    return rnd(spark.read.parquet(base + "/out").select("Code", "Year", "Predicted"))
