@@ -88,13 +88,19 @@ def ols_by_entity(df: DataFrame, entity: str, y: str, xs, ridge: list | None = N
     ones to get one) per entity: rows with a NULL term are skipped."""
     xs = list(xs)
     k = len(xs)
-    ok = df.filter(F.col(y).isNotNull())
+    # conditional sums (not a filter): an entity with no complete row still
+    # gets its moments row (n = 0) and is reported as not converged
+    ok = F.col(y).isNotNull()
     for c in xs:
-        ok = ok.filter(F.col(c).isNotNull())
-    aggs = [F.count(F.lit(1)).alias("_n")]
-    aggs += [F.sum(F.col(xs[i]) * F.col(xs[j])).alias(f"_xx_{i}_{j}") for i in range(k) for j in range(i, k)]
-    aggs += [F.sum(F.col(xs[i]) * F.col(y)).alias(f"_xy_{i}") for i in range(k)]
-    mom = ok.groupBy(entity).agg(*aggs)
+        ok = ok & F.col(c).isNotNull()
+
+    def s(e):
+        return F.coalesce(F.sum(F.when(ok, e)), F.lit(0.0))
+
+    aggs = [F.count_if(ok).alias("_n")]
+    aggs += [s(F.col(xs[i]) * F.col(xs[j])).alias(f"_xx_{i}_{j}") for i in range(k) for j in range(i, k)]
+    aggs += [s(F.col(xs[i]) * F.col(y)).alias(f"_xy_{i}") for i in range(k)]
+    mom = df.groupBy(entity).agg(*aggs)
     etype = df.schema[entity].dataType.simpleString()
     return mom.groupBy(entity).applyInPandas(_solve_rows(xs, ridge), f"{entity} {etype}, {COEF_SCHEMA}")
 
