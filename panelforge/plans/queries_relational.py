@@ -466,3 +466,22 @@ def q_scalar_functions(spark, d):
         F.pow(F.col("n_nationkey").cast("double"), 2).alias("sq"),
         (F.lit(1.5) + F.lit(0.25) * F.col("n_nationkey")).alias("poly"),
         F.coalesce(nr, F.lit(-1)).alias("filled"), nr.isNull().alias("was_null")))
+
+
+@query("indicator_failure_policy", """
+SELECT 'k_value' AS indicator, 'merged' AS status, count(*) AS n_rows FROM events
+UNION ALL SELECT 'never_present', 'skipped', 0""")
+def q_failure_policy(spark, d):
+    """SRC7: several indicators attached to a base; one whose pages hold no
+    record (a filter nothing passes) is skipped and reported, not fatal."""
+    from panelforge.sources.ingest import ingest_indicator, ingest_indicators
+    pages = _indicator_pages(spark, d)
+    empty = pages.filter(F.lit(False))
+    base = (table(spark, d, "events")
+            .select(F.upper(F.concat(F.lit("u"), F.col("user_id").cast("string"))).alias("Code"),
+                    F.dayofmonth("ts").alias("Year")))
+    out, skipped = ingest_indicators({"k_value": pages, "never_present": empty}, base.distinct())
+    assert "k_value" in out.columns and "never_present" not in out.columns
+    n_rec = ingest_indicator(pages, "k_value").count()  # rows retrieved for the merged one
+    rows = [("k_value", "merged", n_rec)] + [(s, "skipped", 0) for s in skipped]
+    return spark.createDataFrame(rows, "indicator string, status string, n_rows long")

@@ -342,3 +342,31 @@ def q_min_max(spark, d):
         F.min("Year").alias("min_year"), F.max("Year").alias("max_year"),
         F.least(F.min("actual"), F.min("predicted")).alias("lo"),
         F.greatest(F.max("actual"), F.max("predicted")).alias("hi")))
+
+
+@query("first_match", with_(P1_CTE, SPLIT_CTE) + f"""
+SELECT Model, Split, {METRIC_SQL} FROM pred WHERE Model = 'lag1' AND Split = 'Val' GROUP BY Model, Split""")
+def q_first_match(spark, d):
+    """FLT8: the (model, split) record, or an error listing what exists."""
+    from panelforge.operators.relational import first_match
+    m = met.metrics_table(panels.pseudo_predictions(spark, d))
+    return first_match(m, Model="lag1", Split="Val")
+
+
+@query("anti_join_missing", with_(P1_CTE, SPLIT_CTE) + FITS_SQL + """
+SELECT DISTINCT Code FROM p1 WHERE Code NOT IN (SELECT Code FROM fits WHERE converged)""")
+def q_anti_join(spark, d):
+    """JN10: entities without a converged model (left anti join)."""
+    fits = _fits(spark, d).filter("converged")
+    return panels.nation_year_panel(spark, d).select("Code").distinct().join(fits, "Code", "left_anti")
+
+
+@query("stack_long", R(with_(P1_CTE, SPLIT_CTE) + """
+SELECT Code, Year, predicted, Model FROM pred""", ["predicted"]))
+def q_stack_long(spark, d):
+    """RSH2: several model outputs -> one long table with a tag column."""
+    from panelforge.operators.reshape import stack_long
+    pr = panels.pseudo_predictions(spark, d)
+    frames = {m: pr.filter(F.col("Model") == m).select("Code", "Year", "predicted")
+              for m in ("lag1", "train_mean")}
+    return rnd(stack_long(frames, "Model"))
