@@ -157,9 +157,20 @@ def horizon_index(future: DataFrame, entity: str, period: str, out: str = "h") -
     return future.withColumn(out, F.row_number().over(W.partitionBy(entity).orderBy(period)))
 
 
+def lag_by_join(df: DataFrame, entity: str, period: str, value: str, lags=(1,)) -> DataFrame:
+    """``{value}_lag{k}``: the value k rows earlier in the entity (period
+    order), as equi-joins on (entity, position) — no whole-entity window,
+    so a hot entity is spread over many tasks."""
+    d = row_position(df, entity, period).drop("_b")
+    base = d.select(entity, "_rn", value)
+    for k in lags:
+        prev = base.select(entity, (F.col("_rn") + k).alias("_rn"), F.col(value).alias(f"{value}_lag{k}"))
+        d = d.join(prev, [entity, "_rn"], "left")
+    return d.drop("_rn")
+
+
 def lag_diff(df: DataFrame, entity: str, period: str, value: str, lags=(1,)) -> DataFrame:
     """WIN10: lags and the first difference of ``value`` per entity."""
-    w = W.partitionBy(entity).orderBy(period)
-    cols = {f"{value}_lag{k}": F.lag(value, k).over(w) for k in lags}
-    cols[f"{value}_diff"] = F.col(value) - F.lag(value, 1).over(w)
-    return df.withColumns(cols)
+    lags = sorted(set(lags) | {1})
+    d = lag_by_join(df, entity, period, value, lags)
+    return d.withColumn(f"{value}_diff", F.col(value) - F.col(f"{value}_lag1"))
