@@ -9,7 +9,9 @@ from panelforge.operators import stats
 from panelforge.plans import panels
 from panelforge.plans.panels import P1_PREDICTORS, table
 from panelforge.plans.registry import R, query, rnd
-from panelforge.plans.sql_panels import P1_CTE, SPLIT_CTE, with_
+from panelforge.plans.sql_panels import P1_CTE, P3_CTE, SPLIT_CTE, with_
+
+P3_SQL = ", " + P3_CTE.strip()
 
 LI_COLS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 
@@ -370,3 +372,23 @@ def q_stack_long(spark, d):
     frames = {m: pr.filter(F.col("Model") == m).select("Code", "Year", "predicted")
               for m in ("lag1", "train_mean")}
     return rnd(stack_long(frames, "Model"))
+
+
+@query("panel_customer_quarter", R(with_(P1_CTE) + P3_SQL + "SELECT * FROM p3",
+                                   ["target", "acctbal_mean", "urgent_share", "qty_mean", "discount_mean",
+                                    "tax_mean", "price_mean"]))
+def q_panel_p3(spark, d):
+    """P3 builder at customer x quarter grain (scale fixture: one entity per
+    customer)."""
+    return rnd(panels.customer_quarter_panel(spark, d))
+
+
+@query("customer_profile", R(with_(P1_CTE) + P3_SQL + """
+SELECT Code, avg(n_orders) AS n_orders_mean, avg(qty_mean) AS qty_mean_mean, avg(target) AS target_mean,
+       CASE WHEN count(target) >= 2 AND var_pop(Period) > 0 THEN regr_slope(target, Period) END AS target_trend
+FROM p3 GROUP BY Code""", ["n_orders_mean", "qty_mean_mean", "target_mean", "target_trend"]))
+def q_customer_profile(spark, d):
+    """AGG1 + AGG2 at customer grain: per-entity means and trend for every
+    customer (one grouped aggregate over the quarter panel)."""
+    p = panels.customer_quarter_panel(spark, d)
+    return rnd(stats.group_mean_profile(p, "Code", ["n_orders", "qty_mean"], "target", "Period"))

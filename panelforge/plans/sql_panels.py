@@ -81,3 +81,14 @@ p4s AS (SELECT p4.*, CASE WHEN pos < floor(n * CAST(0.70 AS DOUBLE)) THEN 'train
                           WHEN pos < floor(n * CAST(0.85 AS DOUBLE)) THEN 'test' ELSE 'val' END AS split
         FROM p4 JOIN pyr USING (Period))
 """
+
+P3_CTE = """
+p3 AS (
+  SELECT o_custkey AS Code, CAST(year(o_orderdate) * 4 + quarter(o_orderdate) - 1 AS INTEGER) AS Period,
+         c_nationkey AS "Group",
+         avg(o_totalprice) AS target, count(*) AS n_orders, avg(c_acctbal) AS acctbal_mean,
+         avg(CASE WHEN o_orderpriority = '1-URGENT' THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END) AS urgent_share,
+         sum(li_qty) / sum(li_n) AS qty_mean, sum(li_disc) / sum(li_n) AS discount_mean,
+         sum(li_tax) / sum(li_n) AS tax_mean, sum(li_price) / sum(li_n) AS price_mean
+  FROM facts GROUP BY 1, 2, 3)
+"""
