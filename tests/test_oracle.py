@@ -10,7 +10,8 @@ SF = "/root/testdata/sf0.001"
 SAMPLE = ["panel_nation_year", "trend_by_group", "scan_csv_long", "pivot_wide", "join_left_equi_multi",
           "iqr_outliers", "describe", "corr_matrix", "impute_trend", "temporal_split",
           "geographical_split", "timeseries_cv", "robust_scale", "ari_nmi", "silhouette",
-          "ridge_one_feature", "grid_search_ridge_1f", "ar1_diff_ls", "shap_linear", "chart_region_trend"]
+          "ridge_one_feature", "grid_search_ridge_1f", "ar1_diff_ls", "shap_linear", "chart_region_trend",
+          "stream_score", "customer_profile"]
 
 
 @pytest.fixture(scope="module")
