@@ -485,3 +485,17 @@ def q_failure_policy(spark, d):
     n_rec = ingest_indicator(pages, "k_value").count()  # rows retrieved for the merged one
     rows = [("k_value", "merged", n_rec)] + [(s, "skipped", 0) for s in skipped]
     return spark.createDataFrame(rows, "indicator string, status string, n_rows long")
+
+
+@query("join_left_lookup", R(with_(P1_CTE) + """
+SELECT p1.Code, p1.Year, p1.target, d.r_name AS Region FROM p1
+LEFT JOIN (SELECT n_nationkey, r_name FROM nation JOIN region ON n_regionkey = r_regionkey) d
+ON p1.Code = d.n_nationkey""", ["target"]))
+def q_join_left_lookup(spark, d):
+    """JN3: attach a per-entity attribute from a dimension (nation ->
+    region, 25 rows: broadcast on a known row count), left join."""
+    p = panels.nation_year_panel(spark, d).select("Code", "Year", "target")
+    n, r = table(spark, d, "nation"), table(spark, d, "region")
+    dim = n.join(F.broadcast(r), n.n_regionkey == r.r_regionkey).select(
+        F.col("n_nationkey").alias("Code"), F.col("r_name").alias("Region"))
+    return rnd(rel.lookup_join(p, dim, "Code", "left", known_rows=25))
