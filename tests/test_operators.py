@@ -300,3 +300,16 @@ def test_arimax_recovers_ar1_on_differences(spark):
     df = spark.createDataFrame([("A", i, float(v)) for i, v in enumerate(y)], "Code string, t int, y double")
     m = fc.fit_arimax(df, "Code", "t", "y", (), (1, 1, 0)).first()
     assert m.phi[0] == pytest.approx(0.6, abs=0.1)
+
+
+def test_oblivious_boosting_learns_a_step(spark):
+    rng = np.random.default_rng(4)
+    x = rng.uniform(-1, 1, size=(400, 2))
+    y = np.where(x[:, 0] > 0.2, 5.0, 0.0)
+    df = spark.createDataFrame([(float(a), float(b), float(t)) for (a, b), t in zip(x, y)],
+                               "a double, b double, y double")
+    m = rg.fit_model("CatBoost", {"iterations": 6, "depth": 2, "learning_rate": 0.5, "l2_leaf_reg": 1},
+                     df, ["a", "b"], "y")
+    assert all(len(sp) == 2 for sp, _ in m.model.trees)          # symmetric: one split per level
+    assert m.model.trees[0][0][0][0] == "a"                        # first split on the informative feature
+    assert rg.rmse_of(m, df, "y") < 0.5
