@@ -27,7 +27,6 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from panelforge.operators.timeorder import row_position
 from panelforge.session import cut_lineage

@@ -10,7 +10,7 @@ from panelforge.operators import metrics as met
 from panelforge.operators import splits as spl
 from panelforge.operators import timeorder as tw
 from panelforge.plans import panels
-from panelforge.plans.registry import R, query, rnd
+from panelforge.plans.registry import query, rnd
 from panelforge.plans.sql_panels import P1_CTE, P4_CTE, with_
 
 EXOG = ["n_orders", "urgent_share", "qty_mean"]
