@@ -323,3 +323,19 @@ def q_ch17(spark, d):
     pr = panels.pseudo_predictions(spark, d)
     fc = pr.groupBy("Region", "Year", F.col("Model").alias("Series")).agg(F.avg("predicted").alias("target"))
     return rnd(tw.trend_with_connector(hist, fc, "Region", "Year", "target", "Series"))
+
+
+@query("chart_r2", with_(P1_CTE, SPLIT_CTE) + """
+, m AS (SELECT Model, Split,
+               round(CASE WHEN count(*) < 2 THEN NULL
+                          WHEN var_pop(actual) = 0 THEN CASE WHEN sum((actual - predicted) * (actual - predicted)) = 0 THEN 1.0 ELSE 0.0 END
+                          ELSE 1 - sum((actual - predicted) * (actual - predicted)) / (var_pop(actual) * count(*)) END, 4) AS R2
+        FROM pred GROUP BY Model, Split)
+SELECT t.Model, t.R2 AS R2_test, v.R2 AS R2_val
+FROM (SELECT * FROM m WHERE Split = 'Test') t JOIN (SELECT * FROM m WHERE Split = 'Val') v USING (Model)""")
+def q_ch8_r2(spark, d):
+    """CH8 (R² panel) + JN4: Test and Val R² side by side on Model."""
+    m = met.metrics_table(panels.pseudo_predictions(spark, d)).select("Model", "Split", "R2")
+    t = m.filter("Split = 'Test'").drop("Split")
+    v = m.filter("Split = 'Val'").drop("Split")
+    return rel.join_with_suffix(t, v, "Model")
