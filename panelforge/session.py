@@ -43,6 +43,12 @@ def get_spark(master: str | None = None, app: str = "panelforge",
         conf["spark.driver.memory"] = os.environ.get("PANELFORGE_DRIVER_MEMORY", "12g")
     if shuffle_partitions:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
+    # Settings the cluster already made (spark-defaults / spark-submit,
+    # visible as spark.* system properties) win over these defaults;
+    # ``extra`` is the caller's explicit choice and always applies.
+    from pyspark import SparkConf
+    preset = {k for k, _ in SparkConf().getAll()} if not master else set()
+    conf = {k: v for k, v in conf.items() if k not in preset}
     conf.update(extra or {})
     for k, v in conf.items():
         b = b.config(k, v)
