@@ -46,8 +46,11 @@ def get_spark(master: str | None = None, app: str = "panelforge",
     # Settings the cluster already made (spark-defaults / spark-submit,
     # visible as spark.* system properties) win over these defaults;
     # ``extra`` is the caller's explicit choice and always applies.
-    from pyspark import SparkConf
-    preset = {k for k, _ in SparkConf().getAll()} if not master else set()
+    from pyspark import SparkConf, SparkContext
+    preset = set()
+    if not master:
+        SparkContext._ensure_initialized()  # attach to the launcher's JVM first
+        preset = {k for k, _ in SparkConf().getAll()}
     conf = {k: v for k, v in conf.items() if k not in preset}
     conf.update(extra or {})
     for k, v in conf.items():
