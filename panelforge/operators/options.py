@@ -15,6 +15,7 @@ from panelforge.operators import regress as rg
 from panelforge.operators import scale as sc
 from panelforge.operators import splits as spl
 from panelforge.operators.metrics import metrics_table
+from panelforge.session import release_unreferenced
 
 
 def run_option(panel: DataFrame, features, target: str, design: str = "temporal",
@@ -51,6 +52,7 @@ def run_option(panel: DataFrame, features, target: str, design: str = "temporal"
             preds.append(rg.predictions(fitted, scaled.filter(F.col("split") == split), target,
                                         [entity, period], tag))
         scores.append((name, float(cv), float(secs), str(fitted.params)))
+        release_unreferenced(spark)
     pred = preds[0]
     for p in preds[1:]:
         pred = pred.unionByName(p)

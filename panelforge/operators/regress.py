@@ -230,6 +230,7 @@ def fit_oblivious(train: DataFrame, features, label: str, iterations: int = 200,
         g = F.col("_y") - (F.col("_p") + sum((_leaf_out(sp, vals) for sp, vals in pending), F.lit(0.0)))
         leaf = F.lit(0)
         splits = []
+        last = None
         for level in range(depth):
             long = data.select(leaf.alias("_leaf"), g.alias("_g"), *bcols).unpivot(
                 ["_leaf", "_g"], bcols, "_f", "_bin")
@@ -241,12 +242,20 @@ def fit_oblivious(train: DataFrame, features, label: str, iterations: int = 200,
             fi, t = best
             splits.append((fi, t))
             leaf = leaf * 2 + F.when(F.col(f"_b{fi}") > t, 1).otherwise(0)
+            last = (rows, fi, t)
         if not splits:
             break
-        lv = {r["_leaf"]: (r["G"], r["n"]) for r in
-              data.select(leaf.alias("_leaf"), g.alias("_g")).groupBy("_leaf")
-              .agg(F.sum("_g").alias("G"), F.count(F.lit(1)).alias("n")).collect()}
-        values = [learning_rate * lv[k][0] / (lv[k][1] + l2_leaf_reg) if k in lv else 0.0
+        # leaf sums come from the last level's aggregate: child 2·leaf (+1)
+        # takes the bins <= t (> t) of the chosen feature — no extra pass
+        rows, fi, t = last
+        sums = {}
+        for r in rows:
+            if int(r["_f"][2:]) != fi:
+                continue
+            child = 2 * r["_leaf"] + (1 if r["_bin"] > t else 0)
+            gs, ns = sums.get(child, (0.0, 0))
+            sums[child] = (gs + r["G"], ns + r["n"])
+        values = [learning_rate * sums[k][0] / (sums[k][1] + l2_leaf_reg) if k in sums else 0.0
                   for k in range(2 ** len(splits))]
         pending.append((splits, values))
         trees.append(([(features[fi], borders[fi][t]) for fi, t in splits], values))

@@ -86,6 +86,17 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return os.path.join(base, f"{name}-{uuid.uuid4().hex[:12]}")
 
 
+def release_unreferenced(spark: SparkSession) -> None:
+    """Let Spark's ContextCleaner reclaim broadcasts, shuffle files and
+    cached blocks of DataFrames that are no longer referenced: drop the
+    Python handles, then ask the driver JVM for a GC (the cleaner works
+    from weak references; its own periodic GC runs only every 30 min).
+    Used between the many short jobs of iterative model fitting."""
+    import gc
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint into the shared checkpoint folder (survives
     executor loss, unlike a local checkpoint)."""
