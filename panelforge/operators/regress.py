@@ -373,7 +373,7 @@ def cv_pairs(train: DataFrame, folds: DataFrame, n_folds: int, kind: str):
 
 
 def grid_search(name: str, grid: dict, train: DataFrame, folds: DataFrame, features, label: str,
-                n_folds: int = 5, kind: str = "kfold", parallelism: int = 4):
+                n_folds: int = 5, kind: str = "kfold", parallelism: int = 8):
     """ML9: exhaustive grid, mean held-out RMSE per cell, refit of the best
     cell on all ``train`` rows, wall time of the search + refit.
     Returns (Fitted, scores DataFrame (Model, params, fold, rmse),

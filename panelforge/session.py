@@ -65,12 +65,16 @@ def checkpoint_dir(spark: SparkSession) -> str:
     stage written tables.
 
     Reads ``spark.checkpoint.dir`` from the session (the cluster names a
-    shared folder there).  Only when it is unset — local tests — do we
-    create one under the system temp folder.
+    shared folder there).  Only when it is unset AND the master is local
+    (tests) do we create one under the system temp folder; on a cluster
+    an unset value is an error rather than a machine-local fallback.
     """
     sc = spark.sparkContext
     d = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not d:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir is not set: name a shared folder "
+                               "(HDFS / object store) that every executor can read")
         d = tempfile.mkdtemp(prefix="panelforge-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
     if not sc.getCheckpointDir():
