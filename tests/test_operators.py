@@ -313,3 +313,28 @@ def test_oblivious_boosting_learns_a_step(spark):
     assert all(len(sp) == 2 for sp, _ in m.model.trees)          # symmetric: one split per level
     assert m.model.trees[0][0][0][0] == "a"                        # first split on the informative feature
     assert rg.rmse_of(m, df, "y") < 0.5
+
+
+def test_trend_with_connector_and_naive_persistence(spark):
+    actual = spark.createDataFrame([("A", 2000, 1.0), ("A", 2001, 2.0), ("B", 2000, 5.0)],
+                                   "Code string, Year int, v double")
+    fcs = spark.createDataFrame([("A", 2002, 3.0, "m1"), ("A", 2003, 4.0, "m1"), ("C", 2002, 9.0, "m1")],
+                                "Code string, Year int, v double, Series string")
+    out = {(r.Code, r.Year, r.Series): r.Rate for r in
+           tw.trend_with_connector(actual, fcs, "Code", "Year", "v", "Series").collect()}
+    assert out[("A", 2001, "m1")] == 2.0            # connector repeats the last actual point
+    assert ("C", 2002, "m1") not in out             # entity without history dropped
+    assert ("B", 2000, "m1") not in out             # no forecasts for B -> no connector
+    assert len(out) == 3 + 1 + 2
+    fut = spark.createDataFrame([("A", 2002, 2.5), ("C", 2002, 7.0)], "Code string, Year int, v double")
+    np_ = tw.naive_persistence(actual, fut, "Code", "Year", "v").collect()
+    assert [(r.Code, r.predicted) for r in np_] == [("A", 2.0)]   # no train rows -> skipped
+
+
+def test_score_batch_validates_and_passes_columns_through(spark):
+    df = spark.createDataFrame([(1, 2.0, 3.0)], "id int, a double, b double")
+    model = rg.Fitted("lin", {}, rg.LinearExprModel(["a", "b"], [1.0, 1.0], 0.0), ["a", "b"])
+    out = rg.score_batch(df, model, {"a": (1.0, 2.0), "b": (0.0, 1.0)}).first()
+    assert out.asDict() == {"id": 1, "a": 2.0, "b": 3.0, "Predicted": 0.5 + 3.0}
+    with pytest.raises(ValueError, match="missing"):
+        rg.score_batch(df.drop("b"), model)
