@@ -87,35 +87,66 @@ def impute_trend(df: DataFrame, columns, entity: str = "Country", period: str =
     above, both leading and trailing gaps from the OLS line fitted on
     the originally known points only.
     Known values are never changed.
+
+    All columns go through each stage together — one window pass per
+    (entity, bucket), one bucket-summary aggregate and carry window, one
+    per-entity fit aggregate — so the number of shuffles does not grow
+    with the number of imputed columns.
     """
+    cols = list(columns)
     d = row_position(df, entity, period, width)
-    for c in columns:
-        d = prev_next_known(d, entity, period, c)
+    wl = W.partitionBy(entity, "_b").orderBy(period)
+    d = d.withColumns({f"_kp{i}": F.when(F.col(c).isNotNull(), F.col("_rn")) for i, c in enumerate(cols)})
+    local = {}
+    for i, c in enumerate(cols):
+        local[f"_lv0_{i}"] = F.last(c, ignorenulls=True).over(wl.rowsBetween(UNB_P, CUR))
+        local[f"_li0_{i}"] = F.last(f"_kp{i}", ignorenulls=True).over(wl.rowsBetween(UNB_P, CUR))
+        local[f"_nv0_{i}"] = F.first(c, ignorenulls=True).over(wl.rowsBetween(CUR, UNB_F))
+        local[f"_ni0_{i}"] = F.first(f"_kp{i}", ignorenulls=True).over(wl.rowsBetween(CUR, UNB_F))
+    d = d.withColumns(local)
+    summ = d.groupBy(entity, "_b").agg(*[a for i, c in enumerate(cols) for a in (
+        F.max_by(c, f"_kp{i}").alias(f"_blv{i}"), F.max(f"_kp{i}").alias(f"_bli{i}"),
+        F.min_by(c, f"_kp{i}").alias(f"_bfv{i}"), F.min(f"_kp{i}").alias(f"_bfi{i}"))])
+    wb = W.partitionBy(entity).orderBy("_b")
+    carry = [entity, "_b"]
+    for i in range(len(cols)):
+        carry += [F.last(f"_blv{i}", ignorenulls=True).over(wb.rowsBetween(UNB_P, -1)).alias(f"_clv{i}"),
+                  F.last(f"_bli{i}", ignorenulls=True).over(wb.rowsBetween(UNB_P, -1)).alias(f"_cli{i}"),
+                  F.first(f"_bfv{i}", ignorenulls=True).over(wb.rowsBetween(1, UNB_F)).alias(f"_cnv{i}"),
+                  F.first(f"_bfi{i}", ignorenulls=True).over(wb.rowsBetween(1, UNB_F)).alias(f"_cni{i}")]
+    d = d.join(summ.select(*carry), [entity, "_b"])
+    filled_cols, fit_aggs = {}, []
+    per = F.col(period).cast("double")
+    for i, c in enumerate(cols):
+        has_l, has_n = F.col(f"_li0_{i}").isNotNull(), F.col(f"_ni0_{i}").isNotNull()
+        lv = F.when(has_l, F.col(f"_lv0_{i}")).otherwise(F.col(f"_clv{i}"))
+        li = F.when(has_l, F.col(f"_li0_{i}")).otherwise(F.col(f"_cli{i}"))
+        nv = F.when(has_n, F.col(f"_nv0_{i}")).otherwise(F.col(f"_cnv{i}"))
+        ni = F.when(has_n, F.col(f"_ni0_{i}")).otherwise(F.col(f"_cni{i}"))
         x = F.col(c)
-        interior = F.col("_lv") + (F.col("_nv") - F.col("_lv")) * (
-            (F.col("_rn") - F.col("_li")) / (F.col("_ni") - F.col("_li")))
-        both = F.col("_lv").isNotNull() & F.col("_nv").isNotNull()
+        interior = lv + (nv - lv) * ((F.col("_rn") - li) / (ni - li))
+        both = lv.isNotNull() & nv.isNotNull()
         if boundary == "ols":
-            fx = F.when(x.isNotNull(), x).when(both, interior)
-            fit_on = x
+            filled_cols[f"_fx{i}"] = F.when(x.isNotNull(), x).when(both, interior)
+            y = x
         else:
-            fx = F.when(x.isNotNull(), x).when(both, interior).otherwise(F.col("_lv"))
-            fit_on = None
-        d = d.withColumn("_fx", fx)
-        y = F.col("_fx") if fit_on is None else fit_on
-        fit = d.groupBy(entity).agg(
-            F.count(y).alias("_kn"),
-            F.regr_slope(y, F.col(period).cast("double")).alias("_sl"),
-            F.regr_intercept(y, F.col(period).cast("double")).alias("_ic"),
-            F.min_by(y, F.when(y.isNotNull(), F.col("_rn"))).alias("_one"))
-        d = d.join(fit, entity, "left")
-        line = F.col("_ic") + F.col("_sl") * F.col(period).cast("double")
-        filled = (F.when(F.col("_fx").isNotNull(), F.col("_fx"))
-                  .when(F.col("_kn") >= 2, line)
-                  .when(F.col("_kn") == 1, F.col("_one")))
-        d = d.withColumn(c, filled).drop("_fx", "_kn", "_sl", "_ic", "_one",
-                                          "_lv", "_li", "_nv", "_ni")
-    return d.drop("_b", "_rn")
+            filled_cols[f"_fx{i}"] = F.when(x.isNotNull(), x).when(both, interior).otherwise(lv)
+            y = F.col(f"_fx{i}")
+        fit_aggs.append((i, y))
+    d = d.withColumns(filled_cols)
+    fit = d.groupBy(entity).agg(*[a for i, y in fit_aggs for a in (
+        F.count(y).alias(f"_kn{i}"), F.regr_slope(y, per).alias(f"_sl{i}"),
+        F.regr_intercept(y, per).alias(f"_ic{i}"),
+        F.min_by(y, F.when(y.isNotNull(), F.col("_rn"))).alias(f"_one{i}"))])
+    d = d.join(fit, entity, "left")
+    out = {}
+    for i, c in enumerate(cols):
+        line = F.col(f"_ic{i}") + F.col(f"_sl{i}") * per
+        out[c] = (F.when(F.col(f"_fx{i}").isNotNull(), F.col(f"_fx{i}"))
+                  .when(F.col(f"_kn{i}") >= 2, line).when(F.col(f"_kn{i}") == 1, F.col(f"_one{i}")))
+    d = d.withColumns(out)
+    keep = [c for c in df.columns]
+    return d.select(*keep)
 
 
 def last_value_per_entity(df: DataFrame, entity: str, period: str, value: str,

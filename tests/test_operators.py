@@ -338,3 +338,14 @@ def test_score_batch_validates_and_passes_columns_through(spark):
     assert out.asDict() == {"id": 1, "a": 2.0, "b": 3.0, "Predicted": 0.5 + 3.0}
     with pytest.raises(ValueError, match="missing"):
         rg.score_batch(df.drop("b"), model)
+
+
+def test_impute_many_columns_equals_one_at_a_time(spark):
+    rows = [("A", 2000 + i, None if i % 3 == 0 else float(i), None if i % 4 == 1 else float(i * i))
+            for i in range(12)]
+    df = spark.createDataFrame(rows, "Country string, Year int, x double, y double")
+    both = tw.impute_trend(df, ["x", "y"], "Country", "Year").orderBy("Year").collect()
+    xo = tw.impute_trend(df, ["x"], "Country", "Year").orderBy("Year").collect()
+    yo = tw.impute_trend(df, ["y"], "Country", "Year").orderBy("Year").collect()
+    assert [r.x for r in both] == pytest.approx([r.x for r in xo])
+    assert [r.y for r in both] == pytest.approx([r.y for r in yo])

@@ -1,6 +1,7 @@
 """Registered queries vs their DuckDB twins on the smallest test data
 (the driver runs every key at sf0.01; this is a fast sample)."""
 import duckdb
+import pandas as pd
 import pytest
 
 import __spark_entry__ as E
@@ -41,3 +42,15 @@ def test_entry_smoke(spark):
     df = E.entry(spark)
     assert df.count() > 0
     assert df.columns == ["Region", "Year", "mean_target", "n_entities"]
+
+
+def test_impute_events_matches_sql_within_tolerance(spark, con):
+    from panelforge.plans.queries_time import IMPUTE_EVENTS_SQL
+    s = E.queries()["impute_events"](spark, SF).toPandas().sort_values(["user_id", "day_idx"])
+    d = con.execute(IMPUTE_EVENTS_SQL).df().sort_values(["user_id", "day_idx"])
+    assert len(s) == len(d)
+    for c in ["view", "signup", "error", "click", "purchase"]:
+        a, b = s[c].to_numpy(), d[c].to_numpy()
+        assert ((pd.isna(a)) == (pd.isna(b))).all()
+        m = ~pd.isna(a)
+        assert abs(a[m] - b[m]).max() < 1e-6
