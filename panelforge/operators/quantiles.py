@@ -26,9 +26,9 @@ from pyspark.sql import DataFrame, Window as W
 from pyspark.sql import functions as F
 
 DEFAULT_ACCURACY = 100_000
-# Inputs with at most this many values in total (rows x columns, checked
-# by a count) take Spark's one-pass exact ``percentile``: its buffer is
-# then provably small.  Larger inputs use the two-pass banded method.
+# Inputs with at most this many non-NULL values in total (counted by the
+# first pass) take Spark's exact ``percentile``: its buffer is then
+# provably small.  Larger inputs use the banded second pass.
 SMALL_INPUT_VALUES = 2_000_000
 
 
@@ -45,8 +45,6 @@ def exact_quantiles(df: DataFrame, columns, probs, by=(), accuracy: int = DEFAUL
     long = (df.select(*by, *[F.col(c).cast("double").alias(c) for c in columns])
             .unpivot(by, columns, feature_col, "_v"))
     vals = long.filter(F.col("_v").isNotNull())
-    if df.count() * max(1, len(columns)) <= SMALL_INPUT_VALUES:
-        return _small_quantiles(long, keys, probs)
 
     delta = 3.0 / accuracy
     lo_p = [max(0.0, p - delta) for p in probs]
@@ -55,6 +53,12 @@ def exact_quantiles(df: DataFrame, columns, probs, by=(), accuracy: int = DEFAUL
         F.count("_v").alias("_n"),
         F.percentile_approx("_v", F.array(*[F.lit(x) for x in lo_p]), accuracy).alias("_lo"),
         F.percentile_approx("_v", F.array(*[F.lit(x) for x in hi_p]), accuracy).alias("_hi"))
+    # First pass (counts + brackets) is one row per (group, feature):
+    # cache it and pick the path from the exact value count it carries.
+    stats = stats.cache()
+    total = stats.agg(F.sum("_n")).first()[0] or 0
+    if total <= SMALL_INPUT_VALUES:
+        return _small_quantiles(long, keys, probs)
     brk = stats.select(
         *keys, "_n",
         F.posexplode(F.arrays_zip(F.array(*[F.lit(p) for p in probs]).alias("p"),
