@@ -349,3 +349,28 @@ def test_impute_many_columns_equals_one_at_a_time(spark):
     yo = tw.impute_trend(df, ["y"], "Country", "Year").orderBy("Year").collect()
     assert [r.x for r in both] == pytest.approx([r.x for r in xo])
     assert [r.y for r in both] == pytest.approx([r.y for r in yo])
+
+
+def test_trend_model_follows_a_slope_change(spark):
+    t = np.arange(40)
+    y = np.where(t < 20, 100 + 2.0 * t, 140 - 1.0 * (t - 20))
+    df = spark.createDataFrame([("A", int(a), float(b)) for a, b in zip(t, y)], "Code string, t int, y double")
+    m = fc.fit_trend(df, "Code", "t", "y", (), n_changepoints=10, prior_scale=10.0)
+    f = {r.t: r.predicted for r in fc.forecast_trend(m, df, "Code", "t").collect()}
+    err = max(abs(f[i] - y[i]) for i in range(40))
+    flat = fc.fit_trend(df, "Code", "t", "y", (), n_changepoints=0)
+    g = {r.t: r.predicted for r in fc.forecast_trend(flat, df, "Code", "t").collect()}
+    err_line = max(abs(g[i] - y[i]) for i in range(40))
+    # the kink (t = 20) falls between grid changepoints, so not exact
+    assert err < 3.0 and err < err_line / 3
+
+
+def test_rbf_svr_fits_a_curve(spark):
+    rng = np.random.default_rng(12)
+    x = rng.uniform(-3, 3, size=300)
+    y = np.sin(x) * 3
+    df = spark.createDataFrame([(float(a), float(b)) for a, b in zip(x, y)], "x double, y double")
+    lin = rg.fit_model("SVR", {"C": 10.0, "epsilon": 0.1, "kernel": "linear"}, df, ["x"], "y")
+    rbf = rg.Fitted("SVR", {}, rg.fit_svr(df, ["x"], "y", C=10.0, epsilon=0.1, kernel="rbf",
+                                          n_components=50, max_iter=150), ["x"])
+    assert rg.rmse_of(rbf, df, "y") < rg.rmse_of(lin, df, "y")
