@@ -122,11 +122,10 @@ def customer_quarter_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
 # mean train target.  Rows: (Model, Split, Code, Country, Region, Year,
 # actual, predicted) for the Test and Val splits.
 def pseudo_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import Window as W
     from panelforge.operators.splits import temporal_split
+    from panelforge.operators.timeorder import lag_by_join
     p = temporal_split(nation_year_panel(spark, sf_dir), "Year")
-    w = W.partitionBy("Code").orderBy("Year")
-    p = p.withColumn("_lag", F.lag("target").over(w))
+    p = lag_by_join(p, "Code", "Year", "target", [1]).withColumnRenamed("target_lag1", "_lag")
     tm = (p.filter(F.col("split") == "train").groupBy("Code")
           .agg(F.avg("target").alias("_tm")))
     p = p.join(tm, "Code", "left").filter(F.col("split") != "train")

@@ -112,11 +112,10 @@ SELECT Model, CV_RMSE, RMSE, MAE, R2, CAST(NULL AS DOUBLE) AS Time_s FROM mt LEF
 def q_results_table(spark, d):
     """ML14: Model, CV_RMSE, RMSE, MAE, R2, Time_s for the Test split,
     sorted by RMSE (pseudo models; CV_RMSE = in-sample train RMSE)."""
-    from pyspark.sql import Window as W
+    from panelforge.operators.timeorder import lag_by_join
     pr = panels.pseudo_predictions(spark, d)
     p = _split_p1(spark, d).filter("split = 'train'")
-    w = W.partitionBy("Code").orderBy("Year")
-    tr = p.withColumn("_lag", F.lag("target").over(w))
+    tr = lag_by_join(p, "Code", "Year", "target", [1]).withColumnRenamed("target_lag1", "_lag")
     tm = tr.groupBy("Code").agg(F.avg("target").alias("_tm"))
     tr = tr.join(tm, "Code")
     cvr = (tr.select(F.lit("lag1").alias("Model"), F.col("_lag").alias("predicted"), F.col("target").alias("actual"))
