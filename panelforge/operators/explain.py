@@ -23,8 +23,9 @@ def is_tree_model(model) -> bool:
     from pyspark.ml.regression import (DecisionTreeRegressionModel, GBTRegressionModel,
                                        RandomForestRegressionModel)
     inner = getattr(model, "model", model)
+    from panelforge.operators.regress import ObliviousBoostModel
     return isinstance(inner, (DecisionTreeRegressionModel, GBTRegressionModel,
-                              RandomForestRegressionModel))
+                              RandomForestRegressionModel, ObliviousBoostModel))
 
 
 def shap_linear(x: DataFrame, row_id: str, coef: dict, background: DataFrame) -> DataFrame:

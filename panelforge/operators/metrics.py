@@ -29,10 +29,12 @@ def metrics_by_period(pred: DataFrame, periods: dict, period: str = "Year",
     spark = pred.sparkSession
     dim_rows = [(i, lab, p) for i, (lab, ps) in enumerate(periods.items()) for p in ps]
     dim = spark.createDataFrame(dim_rows, f"_order int, Period string, {period} int")
-    j = F.broadcast(dim).join(pred, period, "left")
-    return (j.groupBy("_order", "Period")
-            .agg(*regression_metrics(actual, predicted, dp))
-            .withColumn("N", F.col("N").cast("int"))
+    labels = spark.createDataFrame([(i, lab) for i, lab in enumerate(periods)], "_order int, Period string")
+    # a row per configured period: predictions are joined in place, not shuffled by period
+    found = (pred.join(F.broadcast(dim.drop("Period")), period)
+             .groupBy("_order").agg(*regression_metrics(actual, predicted, dp)))
+    return (labels.join(found, "_order", "left")
+            .withColumn("N", F.coalesce(F.col("N"), F.lit(0)).cast("int"))
             .orderBy("_order").drop("_order"))
 
 

@@ -437,10 +437,19 @@ def score_batch(df: DataFrame, fitted: "Fitted", scaler: dict | None = None,
 
 # ----------------------------------------------------------------- persistence
 def save_fitted(fitted: Fitted, path: str) -> None:
-    """SNK4: pyspark.ml models through MLWriter; SVR parameters as a
-    Parquet table."""
+    """SNK4: pyspark.ml models through MLWriter; SVR parameters and
+    symmetric trees as Parquet tables."""
     spark = None
-    if isinstance(fitted.model, LinearExprModel):
+    if isinstance(fitted.model, ObliviousBoostModel):
+        from pyspark.sql import SparkSession
+        m = fitted.model
+        rows = [(t, [f for f, _ in splits], [float(x) for _, x in splits], [float(v) for v in values])
+                for t, (splits, values) in enumerate(m.trees)]
+        SparkSession.getActiveSession().createDataFrame(
+            [(-1, list(m.features), [], [m.base]), *rows],
+            "tree int, features array<string>, thresholds array<double>, leaves array<double>"
+        ).coalesce(1).write.mode("overwrite").parquet(path + "/trees")
+    elif isinstance(fitted.model, LinearExprModel):
         from pyspark.sql import SparkSession
         spark = SparkSession.getActiveSession()
         m = fitted.model
@@ -472,9 +481,13 @@ def load_fitted(spark, path: str) -> Fitted:
         om, ph = get("omega"), get("phase")
         rff = (np.array(om).reshape(len(ph), len(feats)), np.array(ph)) if ph else None
         return Fitted(name, meta["params"], LinearExprModel(feats, w, b, rff), feats)
+    if name == "CatBoost":
+        rows = sorted(spark.read.parquet(path + "/trees").collect(), key=lambda r: r["tree"])
+        trees = [(list(zip(r["features"], r["thresholds"])), list(r["leaves"])) for r in rows[1:]]
+        model = ObliviousBoostModel(rows[0]["features"], rows[0]["leaves"][0], trees)
+        return Fitted(name, meta["params"], model, feats)
     from pyspark.ml.regression import (GBTRegressionModel, LinearRegressionModel,
                                        RandomForestRegressionModel)
     cls = {"Ridge": LinearRegressionModel, "Lasso": LinearRegressionModel,
-           "Random Forest": RandomForestRegressionModel, "XGBoost": GBTRegressionModel,
-           "CatBoost": GBTRegressionModel}[name]
+           "Random Forest": RandomForestRegressionModel, "XGBoost": GBTRegressionModel}[name]
     return Fitted(name, meta["params"], cls.load(path + "/model"), feats)

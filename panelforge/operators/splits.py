@@ -2,34 +2,32 @@
 
 Every split is a ``split`` label column on the one input DataFrame
 (filter lazily), never three copies.  Global orderings (entities by
-hash, rows by time) use :func:`global_rank`, a distributed rank: range
-partitioning, a per-partition row number, and per-partition offsets
-from a summary of one row per partition.
+hash, rows by time) use :func:`global_rank`, a distributed rank: buckets
+by literal bounds, a row number per bucket, and offsets from a summary of
+one row per bucket.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window as W
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from panelforge.operators.ranges import row_positions
+
 # Split fractions (70 % train, next 15 % test, rest val).
 TRAIN_FRAC = 0.70
 TEST_END_FRAC = 0.85
+# A table of at most so many periods is labelled by literals, a longer one by a join.
+MAX_PERIODS = 10_000
 
 
 def global_rank(df: DataFrame, order_cols, out: str = "_pos", partitions: int | None = None) -> DataFrame:
     """0-based position of each row in the total order ``order_cols``
-    (ties must be broken by the caller)."""
-    n_parts = partitions or max(1, df.sparkSession.sparkContext.defaultParallelism)
-    d = df.repartitionByRange(n_parts, *order_cols).withColumn("_pid", F.spark_partition_id())
-    d = d.withColumn("_lpos", F.row_number().over(W.partitionBy("_pid").orderBy(*order_cols)) - 1)
-    sizes = d.groupBy("_pid").agg(F.count(F.lit(1)).alias("_pn"))
-    # one row per partition: the window below is over a tiny table
-    sizes = sizes.withColumn("_off", F.coalesce(F.sum("_pn").over(
-        W.orderBy("_pid").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
-    d = d.join(F.broadcast(sizes.select("_pid", "_off")), "_pid")
-    return d.withColumn(out, (F.col("_off") + F.col("_lpos")).cast("long")).drop("_pid", "_lpos", "_off")
+    (ascending; rows that tie are put in a fixed order by a hash of the row)."""
+    return row_positions(df, list(order_cols), out=out, n_buckets=partitions)
 
 
 def _label(pos: Column, n: Column) -> Column:
@@ -41,10 +39,21 @@ def _label(pos: Column, n: Column) -> Column:
 def temporal_split(df: DataFrame, period: str = "Year", out: str = "split") -> DataFrame:
     """WIN5: distinct periods in order; the first floor(0.70 n) are
     train, up to floor(0.85 n) test, the rest val (22 -> 15/3/4)."""
+    # the periods of a panel are few; collected once, they give rank and count
+    # without reading the input again
+    found = sorted(r[0] for r in df.select(period).distinct().filter(F.col(period).isNotNull()).limit(MAX_PERIODS + 1).collect())
+    if len(found) <= MAX_PERIODS:
+        n = len(found)
+        a, b = math.floor(n * TRAIN_FRAC), math.floor(n * TEST_END_FRAC)
+        if not n:
+            return df.withColumn(out, F.lit(None).cast("string"))
+        c = F.col(period)
+        later = F.when(c < F.lit(found[b]), "test").otherwise("val") if b < n else F.lit("test")
+        label = F.when(c < F.lit(found[a]), "train").otherwise(later)
+        return df.withColumn(out, F.when(c.isNotNull(), label))
     periods = df.select(period).distinct().filter(F.col(period).isNotNull())
     ranked = global_rank(periods, [period])
-    n = F.lit(ranked.count())  # scalar action; no single-partition window
-    lab = ranked.withColumn(out, _label(F.col("_pos"), n)).select(period, out)
+    lab = ranked.withColumn(out, _label(F.col("_pos"), F.lit(ranked.count()))).select(period, out)
     return df.join(lab, period, "left")
 
 

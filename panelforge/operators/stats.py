@@ -221,15 +221,28 @@ def moment_matrix(df: DataFrame, columns):
     return int(row["n"]), mean, cov
 
 
+# An eigenvalue of a correlation matrix below this counts as rank loss.
+SINGULAR = 1e-10
+
+
 def vif_from_cov(cov, columns) -> list:
     """VIF_j = [R⁻¹]_jj with R the correlation matrix (= 1/(1-R²_j) of
-    regressing j on the others with an intercept)."""
+    regressing j on the others with an intercept).  A column that the others
+    determine has VIF infinity; a constant column has none (None) and is left
+    out of the others' regressions."""
     import numpy as np
-    sd = np.sqrt(np.diag(cov))
-    with np.errstate(divide="ignore", invalid="ignore"):
-        r = cov / np.outer(sd, sd)
-    inv = np.linalg.pinv(r)
-    return [(c, float(inv[i, i])) for i, c in enumerate(columns)]
+    cov = np.asarray(cov, dtype=float)
+    var = np.diag(cov)
+    live = np.flatnonzero(var > 1e-12 * max(float(var.max(initial=0.0)), 1e-300))
+    sd = np.sqrt(var[live])
+    r = cov[np.ix_(live, live)] / np.outer(sd, sd)
+    values, vectors = np.linalg.eigh(r) if len(live) else (np.zeros(0), np.zeros((0, 0)))
+    null = values < SINGULAR
+    # in a null direction of R, the columns it involves determine each other
+    tied = (np.abs(vectors[:, null]) > 1e-6).any(axis=1) if null.any() else np.zeros(len(live), dtype=bool)
+    inverse = (vectors[:, ~null] ** 2 / values[~null]).sum(axis=1) if len(live) else np.zeros(0)
+    found = {int(j): float("inf") if tied[i] else float(inverse[i]) for i, j in enumerate(live)}
+    return [(c, found.get(j)) for j, c in enumerate(columns)]
 
 
 def vif(df: DataFrame, columns) -> DataFrame:
@@ -253,8 +266,8 @@ def vif_drop_loop(df: DataFrame, columns, threshold: float = 10.0, max_drop: int
     while len(idx) > 1 and (max_drop is None or len(dropped) < max_drop):
         sub = cov[np.ix_(idx, idx)]
         v = vif_from_cov(sub, [columns[i] for i in idx])
-        worst = max(range(len(v)), key=lambda i: v[i][1])
-        if v[worst][1] <= threshold:
+        worst = max(range(len(v)), key=lambda i: -1.0 if v[i][1] is None else v[i][1])
+        if v[worst][1] is None or v[worst][1] <= threshold:
             break
         dropped.append(v[worst])
         idx.pop(worst)

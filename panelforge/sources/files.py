@@ -67,12 +67,17 @@ def scan_csv_long(spark: SparkSession, path: str, name_dim: DataFrame,
     duplicate (name, Code, year, category) key.  ``drop_categories`` are
     removed strictly (error if absent), as in the source.
     """
-    raw = spark.read.option("header", True).schema(schema).csv(path)
+    # columns are taken by name: an export may have more of them, in any order
+    text = spark.read.option("header", True).csv(path)
+    absent = [f.name for f in schema.fields if f.name not in text.columns]
+    if absent:
+        raise KeyError(f"columns {absent} not found in {path}")
+    raw = text.select(*[F.col(f"`{f.name}`").try_cast(f.dataType).alias(f.name) for f in schema.fields])
     raw = raw.filter(F.col("year") >= F.lit(min_year))
     dim = name_dim.select(F.lower(F.trim(F.col("name"))).alias("_k"),
                           F.col("Code"))
     coded = (raw.withColumn("_k", F.lower(F.trim("location_name")))
-             .join(F.broadcast(dim), "_k", "left").drop("_k"))
+             .join(dim, "_k", "left").drop("_k"))
     if categories is None:
         # Distinct categories are a bounded, tiny list (column names).
         categories = [r[0] for r in coded.select("cause_name").distinct()
