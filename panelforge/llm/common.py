@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from panelforge.session import checkpoint_dir
+from panelforge.session import checkpoint_dir, release_unreferenced
 
 #: Output batches of Python stages are closed once they hold this many bytes.
 BATCH_BYTES = 8 << 20
@@ -21,10 +21,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def scratch_table(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet below the shared checkpoint folder and read it
-    back: cuts lineage, survives lost executors, computes shared inputs once."""
+    back: cuts lineage, survives lost executors, computes shared inputs once.
+    The shuffle files of the step are then garbage; they are released at once,
+    so that a job of many steps needs the disk of one."""
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
+    release_unreferenced(spark)
     return spark.read.schema(df.schema).parquet(path)
 
 

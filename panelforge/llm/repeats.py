@@ -12,8 +12,10 @@ shares its block is looked at again:
 2. An anchor whose gram occurs once has no repeated window.  If the whole
    stretch of an anchor's windows occurs again, all of them are repeated.
 3. What is left (a repeated gram in differing surroundings) is refined, beside
-   one anchor of every whole stretch with that gram: its windows in slices of ``SLICE`` by the bytes that all windows of a slice
-   share, then each window of a slice that still has company.
+   one anchor of every whole stretch with that gram: its windows in slices of
+   ``SLICE``, by the bytes that all windows of a slice share, and by all bytes
+   they cover; then, in the same way, each window of a slice that has company
+   but does not occur again as a whole.
 
 Blocks are named by 64-bit digests, so that a step is a grouped count with
 map-side partial sums and a join back: no task needs all strings of a block.
@@ -39,6 +41,7 @@ from panelforge.llm.common import BATCH_BYTES, handed_on, scratch_table, with_ro
 LENGTH, GRAM, SLICE = 200, 32, 24
 #: Anchors that a task holds before it resolves them among themselves.
 HELD_ANCHORS = 1 << 19
+SIZE_MASK, KNOWN = 0x7FFF, 0x8000
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BYTES = np.random.default_rng(17).integers(1, 1 << 63, 256, np.uint64)
 _MIX = np.uint64(0xC4CEB9FE1A85EC53)
@@ -126,8 +129,8 @@ def owned(raw: bytes, length: int, gram: int) -> tuple[np.ndarray, ...] | None:
 
 
 def _pack(at: np.ndarray, near: np.ndarray, far: np.ndarray, n_bytes: int) -> np.ndarray:
-    """Position, window range and 16 bits of the text's size in one number."""
-    return (at << 32) | (near << 24) | (far << 16) | (n_bytes & 0xFFFF)
+    """Position, window range and 15 bits of the text's size in one number (a bit is left for ``KNOWN``)."""
+    return (at << 32) | (near << 24) | (far << 16) | (n_bytes & SIZE_MASK)
 
 
 def _unpack(packed: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -153,9 +156,10 @@ def repeated_spans(src: DataFrame, length: int = LENGTH, gram: int = GRAM) -> Da
             starts = np.maximum.accumulate(np.where(np.concatenate([[True], (g[1:] != g[:-1]) | (c[1:] != c[:-1])]), n, 0))
             known = n - starts >= 2  # the first two of a block stand for it elsewhere
             g = np.where(known, _mix(th.view(np.uint64) ^ packed.view(np.uint64)), g)
+            packed = np.where(known, packed | KNOWN, packed)
             for a in range(0, len(g), 50_000):
                 s = slice(a, a + 50_000)
-                yield pa.RecordBatch.from_arrays([pa.array(g[s].view(np.int64)), pa.array(c[s].view(np.int64)), pa.array(th[s]), pa.array(packed[s]), pa.array(known[s])], ["g", "c", "th", "packed", "known"])
+                yield pa.RecordBatch.from_arrays([pa.array(g[s].view(np.int64)), pa.array(c[s].view(np.int64)), pa.array(th[s]), pa.array(packed[s])], ["g", "c", "th", "packed"])
 
         for batch in batches:
             for th, nb, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
@@ -170,13 +174,13 @@ def repeated_spans(src: DataFrame, length: int = LENGTH, gram: int = GRAM) -> Da
         if held:
             yield from flush()
 
-    found = src.select("th", "nb", "text").mapInArrow(parse, "g long, c long, th long, packed long, known boolean")
+    found = src.select("th", "nb", "text").mapInArrow(parse, "g long, c long, th long, packed long")
+    known = F.col("packed").bitwiseAND(F.lit(KNOWN)) != 0
     company = found.groupBy("g").agg(F.count("*").alias("n")).filter("n > 1")
-    found = found.join(company, "g", "left").filter("known or n is not null").select("g", "c", "th", "packed", "known")
-    found = scratch_table(found.withColumn("nb", F.col("packed").bitwiseAND(F.lit(0xFFFF)).cast("int")), "anchors")
+    found = found.join(company, "g", "left").filter(known | F.col("n").isNotNull()).drop("n")
     again = found.groupBy("c").agg(F.count("*").alias("n")).filter("n > 1")
-    rows = found.join(again, "c", "left").withColumn("whole", F.col("known") | F.col("n").isNotNull()).drop("n")
-    rows = scratch_table(rows, "blocks")
+    rows = found.join(again, "c", "left").select("g", "c", "th", "packed", known.alias("known"), (known | F.col("n").isNotNull()).alias("whole"))
+    rows = scratch_table(rows.withColumn("nb", F.col("packed").bitwiseAND(F.lit(SIZE_MASK)).cast("int")), "blocks")
     # unresolved anchors, and one anchor of each whole block that may share windows with them
     unresolved = rows.filter("not whole")
     standing = rows.filter("whole and not known").join(unresolved.select("g").distinct(), "g", "left_semi")
@@ -205,20 +209,22 @@ def repeated_spans(src: DataFrame, length: int = LENGTH, gram: int = GRAM) -> Da
     texts = src.select("th", "nb", "text").join(wanted, ["th", "nb"]).select("th", "nb", "text", "packed")
     stretches = scratch_table(texts.mapInArrow(bytes_of, "th long, nb int, packed long, raw binary").withColumn("sid", F.monotonically_increasing_id()), "stretches")
 
-    def cores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Digest of the bytes that all windows of a slice share.  A window that
-        starts t bytes before its anchor starts at far - t of the stretch."""
+    def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Digests of the bytes that all windows of a slice share, and of all bytes they
+        cover.  A window that starts t bytes before its anchor starts at far - t here."""
         for batch in batches:
-            sids, slices, named = [], [], []
+            sids, ks, shared, covered = [], [], [], []
             for sid, packed, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
                 _, near, far = (int(x) for x in _unpack(np.int64(packed)))
                 k = np.arange(near // SLICE, far // SLICE + 1)
-                start = far - k * SLICE
-                named.append(_mix(Digests(raw.as_py()).of(start, start - SLICE + 1 + length) + k.astype(np.uint64)))
+                digests, start = Digests(raw.as_py()), far - k * SLICE
+                first, last = np.maximum(k * SLICE, near), np.minimum(k * SLICE + SLICE - 1, far)
+                shared.append(_mix(digests.of(start, start - SLICE + 1 + length) + k.astype(np.uint64)))
+                covered.append(_mix(digests.of(far - last, far - first + length) + (first * 256 + last).astype(np.uint64)))
                 sids += [sid] * len(k)
-                slices += k.tolist()
+                ks += k.tolist()
             if sids:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(named).view(np.int64)), pa.array(sids, pa.int64()), pa.array(slices, pa.int32())], ["d", "sid", "slice"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).view(np.int64)) for x in (shared, covered)] + [pa.array(sids, pa.int64()), pa.array(ks, pa.int32())], ["d", "hull", "sid", "slice"])
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Digest and first byte of each window in the slices that have company."""
@@ -235,15 +241,22 @@ def repeated_spans(src: DataFrame, length: int = LENGTH, gram: int = GRAM) -> Da
             if ths:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(named).view(np.int64)), pa.array(ths, pa.int64()), pa.array(nbs, pa.int32()), pa.array(np.concatenate(starts), pa.int64())], ["d", "th", "nb", "start"])
 
-    sliced = stretches.select("sid", "packed", "raw").mapInArrow(cores, "d long, sid long, slice int")
-    alive = sliced.join(sliced.groupBy("d").count().filter("count > 1").select("d"), "d", "left_semi")
-    alive = alive.groupBy("sid").agg(F.collect_set("slice").alias("slices"))
+    sliced = stretches.select("sid", "packed", "raw").mapInArrow(slices, "d long, hull long, sid long, slice int")
+    sliced = sliced.join(sliced.groupBy("d").agg(F.count("*").alias("n")).filter("n > 1").select("d"), "d", "left_semi")
+    again = sliced.groupBy("hull").agg(F.count("*").alias("n")).filter("n > 1")
+    sliced = scratch_table(sliced.join(again, "hull", "left").select("d", "hull", "sid", "slice", F.col("n").isNotNull().alias("whole")), "slices")
+    unresolved = sliced.filter("not whole")
+    standing = sliced.filter("whole").join(unresolved.select("d").distinct(), "d", "left_semi")
+    standing = standing.withColumn("turn", F.row_number().over(Window.partitionBy("d", "hull").orderBy("sid"))).filter("turn = 1").drop("turn")
+    alive = unresolved.unionByName(standing).groupBy("sid").agg(F.collect_set("slice").alias("slices"))
     single = scratch_table(stretches.join(alive, "sid").select("th", "nb", "packed", "raw", "slices").mapInArrow(windows, "d long, th long, nb int, start long"), "windows")
-    hits = single.join(single.groupBy("d").count().filter("count > 1").select("d"), "d", "left_semi").select("th", "nb", "start", (F.col("start") + length).alias("stop"))
+    hits = single.join(single.groupBy("d").agg(F.count("*").alias("n")).filter("n > 1").select("d"), "d", "left_semi").select("th", "nb", "start", (F.col("start") + length).alias("stop"))
 
     at, near, far = (F.shiftright("packed", 32), F.shiftright("packed", 24).bitwiseAND(F.lit(255)), F.shiftright("packed", 16).bitwiseAND(F.lit(255)))
     whole = rows.filter("whole").select("th", "nb", (at - far).alias("start"), (at - near + length).alias("stop"))
-    both = whole.unionByName(hits).select("th", "nb", F.shiftleft("start", 32).bitwiseOR(F.col("stop")).alias("range"))
+    first, last = F.greatest(F.col("slice") * SLICE, near), F.least(F.col("slice") * SLICE + SLICE - 1, far)
+    slice_hits = sliced.filter("whole").select("sid", "slice").join(stretches.select("sid", "th", "nb", "packed"), "sid").select("th", "nb", (at - last).alias("start"), (at - first + length).alias("stop"))
+    both = whole.unionByName(slice_hits).unionByName(hits).select("th", "nb", F.shiftleft("start", 32).bitwiseOR(F.col("stop")).alias("range"))
     return both.groupBy("th", "nb").agg(F.collect_set("range").alias("ranges"))
 
 
@@ -262,7 +275,7 @@ def remove_repeats(df: DataFrame, id_col: str, text_col: str, length: int = LENG
     ascending), ``kept`` (binary: the remaining bytes) and, with ``carry``, a struct
     ``row`` of those columns; a row per input row."""
     src = with_row(df, carry, key=id_col, text=F.coalesce(df[text_col], F.lit("")))
-    src = src.withColumns({"th": F.xxhash64("text"), "nb": F.octet_length("text").bitwiseAND(F.lit(0xFFFF)).cast("int")})
+    src = src.withColumns({"th": F.xxhash64("text"), "nb": F.octet_length("text").bitwiseAND(F.lit(SIZE_MASK)).cast("int")})
     spans = repeated_spans(src, length, gram)
     schema = T.StructType([T.StructField("key", src.schema["key"].dataType), T.StructField("n_bytes", T.LongType()),
                            T.StructField("spans", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("stop", T.LongType())]))), T.StructField("kept", T.BinaryType()), *handed_on(src)])
