@@ -152,20 +152,38 @@ def aligned(a: np.ndarray, b: np.ndarray, least: int) -> bool:
     return len(tails) >= least
 
 
-def components(links: DataFrame) -> DataFrame:
-    """``node``, ``cls`` (least node of its component) for the nodes of ``links`` (a, b).
-    Every class hooks to its least neighbouring class, pointers are jumped, until no link crosses classes."""
-    labels = scratch_table(links.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("cls", F.col("node")), "labels")
-    while True:
-        la, lb = labels.select(F.col("node").alias("a"), F.col("cls").alias("ca")), labels.select(F.col("node").alias("b"), F.col("cls").alias("cb"))
-        cross = scratch_table(links.join(la, "a").join(lb, "b").filter("ca <> cb").select(F.least("ca", "cb").alias("low"), F.greatest("ca", "cb").alias("high")).distinct(), "cross")
-        if cross.isEmpty():
-            return labels
-        hook = scratch_table(cross.groupBy(F.col("high").alias("cls")).agg(F.min("low").alias("to")), "hooks")
+def renamed(edges: DataFrame, names: DataFrame | None = None) -> DataFrame:
+    """Distinct edges (low < high) between the classes that ``names`` (cls, to) gives
+    the ends of ``edges``; ends without a name keep theirs, edges within a class go."""
+    if names is not None:
+        for end in ("low", "high"):
+            edges = edges.join(names.withColumnRenamed("cls", end), end, "left").withColumn(end, F.coalesce("to", end)).drop("to")
+    return edges.select(F.least("low", "high").alias("low"), F.greatest("low", "high").alias("high")).filter("low < high").distinct()
+
+
+def join_classes(links: DataFrame, classes: DataFrame | None = None) -> DataFrame:
+    """``node``, ``cls`` (least node of its class) once ``links`` (a, b) have joined ``classes``.
+    Every class hooks to its least neighbour, pointers are followed, and only the
+    edges that still cross classes go on; the nodes are renamed once, at the end."""
+    edges = links.select(F.col("a").alias("low"), F.col("b").alias("high"))
+    names = None if classes is None else classes.select(F.col("node").alias("cls"), F.col("cls").alias("to"))
+    edges = scratch_table(renamed(edges, names), "edges")
+    hooks = []
+    while not edges.isEmpty():
+        least = edges.groupBy(F.col("high").alias("cls")).agg(F.min("low").alias("to"))
+        hook = least
         for _ in range(3):
-            onward = hook.select(F.col("cls").alias("to"), F.col("to").alias("far"))
-            hook = scratch_table(hook.join(onward, "to", "left").select("cls", F.coalesce("far", "to").alias("to")), "hooks")
-        labels = scratch_table(labels.join(hook, "cls", "left").select("node", F.coalesce("to", "cls").alias("cls")), "labels")
+            hook = hook.join(least.select(F.col("cls").alias("to"), F.col("to").alias("far")), "to", "left").select("cls", F.coalesce("far", "to").alias("to"))
+        hooks.append(scratch_table(hook, "hooks"))
+        edges = scratch_table(renamed(edges, hooks[-1]), "edges")
+    if classes is not None and not hooks:
+        return classes
+    labels = links.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("cls", F.col("node"))
+    if classes is not None:
+        labels = classes.unionByName(labels.join(classes, "node", "left_anti"))
+    for hook in hooks:
+        labels = labels.join(hook, "cls", "left").select("node", F.coalesce("to", "cls").alias("cls"))
+    return scratch_table(labels, "labels")
 
 
 def near_duplicates(df: DataFrame, id_col: str, text_col: str, shingle: int = SHINGLE, threshold: float = THRESHOLD) -> DataFrame:
@@ -218,7 +236,7 @@ def near_duplicates(df: DataFrame, id_col: str, text_col: str, shingle: int = SH
         sides = [numbered.select(F.col("node").alias(c), F.col("sh").alias(f"sh_{c}")) for c in "ab"]
         judged = scratch_table(pairs.join(sides[0], "a").join(sides[1], "b").select("a", "b", "sh_a", "sh_b").mapInArrow(verify, "a long, b long, linked boolean"), "judged")
         met = judged if met is None else met.unionByName(judged)
-        classes = components(met.filter("linked").select("a", "b"))
+        classes = join_classes(judged.filter("linked").select("a", "b"), classes)
         # members that have not been pivots, in buckets where those are of several classes
         last = chosen.groupBy("bucket").agg(F.max("a").alias("last"))
         rest = active.join(last, "bucket").filter("node > last").drop("last")

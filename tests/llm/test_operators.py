@@ -173,6 +173,25 @@ def test_near_duplicates(spark, docs, rows, none):
     assert near_dedup.near_duplicates(none, "doc_id", "text").isEmpty()
 
 
+def test_classes_joined_over_rounds(spark):
+    rng, parent, classes = random.Random(5), list(range(300)), None
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    seen = set()
+    for chain in ([], [(i, i + 1) for i in range(100, 160)], []):
+        links = [tuple(sorted(rng.sample(range(300), 2))) for _ in range(60)] + chain
+        classes = near_dedup.join_classes(spark.createDataFrame(links, "a long, b long"), classes)
+        for a, b in links:
+            seen |= {a, b}
+            low, high = sorted((root(a), root(b)))
+            parent[high] = low
+        assert {r["node"]: r["cls"] for r in classes.collect()} == {x: root(x) for x in seen}
+
+
 def test_alignment_keeps_order():
     a = np.arange(1, 101, dtype=np.uint32)
     assert near_dedup.aligned(a, a, 100) and near_dedup.aligned(a, np.delete(a, [3, 50]), 98)
