@@ -186,6 +186,13 @@ def join_classes(links: DataFrame, classes: DataFrame | None = None) -> DataFram
     return scratch_table(labels, "labels")
 
 
+def several_classes(active: DataFrame, classes: DataFrame) -> DataFrame:
+    """The rows of ``active`` in buckets whose members are of several classes."""
+    labelled = active.select("bucket", "node").join(classes, "node", "left").withColumn("cls", F.coalesce("cls", "node"))
+    mixed = labelled.groupBy("bucket").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).filter("lo < hi").select("bucket")
+    return active.join(mixed, "bucket", "left_semi")
+
+
 def near_duplicates(df: DataFrame, id_col: str, text_col: str, shingle: int = SHINGLE, threshold: float = THRESHOLD) -> DataFrame:
     """``key`` and ``class_id``, a row per input row."""
     src = slim(df, key=id_col, text=F.coalesce(df[text_col], F.lit("")))
@@ -237,12 +244,11 @@ def near_duplicates(df: DataFrame, id_col: str, text_col: str, shingle: int = SH
         judged = scratch_table(pairs.join(sides[0], "a").join(sides[1], "b").select("a", "b", "sh_a", "sh_b").mapInArrow(verify, "a long, b long, linked boolean"), "judged")
         met = judged if met is None else met.unionByName(judged)
         classes = join_classes(judged.filter("linked").select("a", "b"), classes)
-        # members that have not been pivots, in buckets where those are of several classes
+        # members that have not been pivots, in buckets where those are of several classes;
+        # buckets of one class go first, so that a large group that is done is not joined again
         last = chosen.groupBy("bucket").agg(F.max("a").alias("last"))
-        rest = active.join(last, "bucket").filter("node > last").drop("last")
-        labelled = rest.join(classes, "node", "left").withColumn("cls", F.coalesce("cls", "node"))
-        mixed = labelled.groupBy("bucket").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).filter("lo < hi").select("bucket")
-        active = scratch_table(rest.join(mixed, "bucket", "left_semi"), "buckets")
+        rest = several_classes(active, classes).join(last, "bucket").filter("node > last").drop("last")
+        active = scratch_table(several_classes(rest, classes), "buckets")
         pivots *= 4
 
     named = nodes.select("tid", "rep", "node")
