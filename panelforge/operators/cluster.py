@@ -137,7 +137,7 @@ def _relabel(model, data: DataFrame, key: str | None):
 
 
 def kmeans_fit(df: DataFrame, x: str, k: int, seed: int = 42, n_init: int = 10,
-               key: str | None = None, max_iter: int = 50, parallelism: int = 8):
+               key: str | None = None, max_iter: int = 300, parallelism: int = 8):
     """ML15: pyspark.ml KMeans (k-means||) restarted ``n_init`` times with
     consecutive seeds; the lowest training cost wins.  Restarts are
     submitted concurrently (``parallelism`` threads, as CrossValidator
@@ -151,12 +151,12 @@ def kmeans_fit(df: DataFrame, x: str, k: int, seed: int = 42, n_init: int = 10,
 
 
 def kmeans_sweep(df: DataFrame, x: str, ks=range(2, 9), seed: int = 42, n_init: int = 10,
-                 key: str | None = None, parallelism: int = 8) -> DataFrame:
+                 key: str | None = None, max_iter: int = 300, parallelism: int = 8) -> DataFrame:
     """ML16: (k, inertia, silhouette) for each k; all (k, restart) fits in
     one concurrent batch."""
     dim = df.select(F.size(x).alias("d")).first()["d"]
     data = df.withColumn("_v", array_to_vector(F.col(x))).cache()
-    models = _kmeans_models(data, list(ks), seed, n_init, 50, parallelism)
+    models = _kmeans_models(data, list(ks), seed, n_init, max_iter, parallelism)
     rows = []
     for k in ks:
         model, cost = models[k]

@@ -41,12 +41,13 @@ def shap_linear(x: DataFrame, row_id: str, coef: dict, background: DataFrame) ->
 def shap_permutation(fitted, x: DataFrame, row_id: str, background: DataFrame, features,
                      n_samples: int = 50, n_background: int = 100, seed: int = 42) -> DataFrame:
     """ML32: Monte-Carlo Shapley values for any model with ``transform``.
-    ``background`` is sampled to ``n_background`` rows (deterministic
-    md5 order); returns (row_id, Feature, phi)."""
+    ``background`` is sampled to ``n_background`` rows (md5 order of a hash
+    of the feature values, so the sample does not depend on partitioning;
+    rows that tie are equal); returns (row_id, Feature, phi)."""
     from panelforge.operators.relational import sample_n
     feats = list(features)
     p = len(feats)
-    bg = sample_n(background.select(*feats).withColumn("_k", F.monotonically_increasing_id()),
+    bg = sample_n(background.select(*feats).withColumn("_k", F.xxhash64(*feats)),
                   "_k", n_background, seed)
     bg = bg.withColumn("_bi", F.row_number().over(W.orderBy("_k")) - 1)  # ≤ n_background rows
     nb = bg.count()

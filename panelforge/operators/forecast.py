@@ -228,7 +228,8 @@ def forecast_arimax(model: DataFrame, future: DataFrame, entity: str, period: st
     if strict:
         missing = future.select(entity).distinct().join(model.select(entity), entity, "left_anti")
         if not missing.isEmpty():
-            raise KeyError(f"no fitted model for entities {[r[0] for r in missing.limit(20).collect()]}")
+            listed = [r[0] for r in missing.limit(20).collect()]
+            raise KeyError(f"no fitted model for {missing.count()} entities, among them {listed}")
     j = future.select(entity, period, *exog).join(model, entity, "inner")
     etype = future.schema[entity].dataType.simpleString()
     ptype = future.schema[period].dataType.simpleString()
