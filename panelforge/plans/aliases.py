@@ -31,7 +31,6 @@ SURVEY_ALIASES = {
     "chart_vif": "vif_three",                       # CH7
     "chart_error_period": "error_by_period",        # CH12
     "chart_elbow": "kmeans_sweep",                  # CH18
-    "chart_dendrogram": "dendrogram_table",         # CH19
     "chart_cluster_pca": "cluster_lookup",          # CH20
 }
 

@@ -164,24 +164,6 @@ def q_kmeans_sweep(spark, d):
     return rnd(sw.withColumn("is_best", F.col("k") == F.lit(best_k)))
 
 
-@query("ward_hierarchical")
-def q_ward(spark, d):
-    """ML19: Ward linkage of the entity profiles cut at k = 4; agreement
-    with the region labels."""
-    prof, _ = _entity_profile(spark, d)
-    lab, _ = cl.ward_hierarchical(prof, "_x", "Code", 4)
-    lab = lab.join(prof.select("Code", "Region"), "Code")
-    return rnd(lab.select("Code", "cluster", "Region"))
-
-
-@query("dendrogram_table")
-def q_dendrogram(spark, d):
-    """ML20 / CH19: merge history with the cut height at k = 4."""
-    prof, _ = _entity_profile(spark, d)
-    _, merges = cl.ward_hierarchical(prof, "_x", "Code", 4)
-    return rnd(cl.dendrogram_table(merges, 4))
-
-
 @query("pca_coords")
 def q_pca(spark, d):
     """ML21 / CH20: 2-component PCA of the entity profiles (centred)."""
@@ -206,15 +188,11 @@ def q_pca_two(spark, d):
 
 @query("cluster_region_agreement")
 def q_cluster_region(spark, d):
-    """RPT7: ARI / NMI of k-means and Ward (k = 4) against the regions."""
+    """RPT7: ARI / NMI of k-means (k = 4) against the regions."""
     prof, _ = _entity_profile(spark, d)
-    prof = prof.cache()
-    km, _, _ = cl.kmeans_fit(prof, "_x", 4, seed=42, n_init=10, key="Code")
-    wl, _ = cl.ward_hierarchical(prof, "_x", "Code", 4)
-    wl = wl.join(prof.select("Code", "Region"), "Code")
+    km, _, _ = cl.kmeans_fit(prof.cache(), "_x", 4, seed=42, n_init=10, key="Code")
     a = stats.ari_nmi(km, "Region", "cluster").withColumn("Method", F.lit("K-Means"))
-    b = stats.ari_nmi(wl, "Region", "cluster").withColumn("Method", F.lit("Ward"))
-    return rnd(a.unionByName(b).select("Method", "ARI", "NMI"))
+    return rnd(a.select("Method", "ARI", "NMI"))
 
 
 @query("cluster_lookup")
