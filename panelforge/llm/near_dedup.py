@@ -19,7 +19,7 @@
   differ in at most as many bits as there are shingles in only one of the
   texts, and a similar pair has few of those, so the test loses nothing.
 * A bucket never emits its pairs.  In each round some members of a bucket
-  (1, then 4, 16, ...) are its pivots and meet the other members that are not
+  (1, then 16, 256, ...) are its pivots and meet the other members that are not
   in their class yet; links join classes; buckets whose remaining members all
   share a class are done.  Rounds go on until every pair of a bucket has met
   a pivot or shares a class, so no link between different texts is lost to a
@@ -48,6 +48,8 @@ from panelforge.llm.common import scratch_table, slim
 SHINGLE, THRESHOLD = 5, 0.8
 FUNCTIONS, MINIMA = 64, 8
 SKETCH_BITS = 2048
+#: Pivots of a bucket in a round, as a multiple of those of the round before.
+GROWTH = 16
 CACHE_WORDS = 1 << 19
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], np.uint64)
 _MIX = np.uint64(0xC4CEB9FE1A85EC53)
@@ -186,11 +188,9 @@ def join_classes(links: DataFrame, classes: DataFrame | None = None) -> DataFram
     return scratch_table(labels, "labels")
 
 
-def several_classes(active: DataFrame, classes: DataFrame) -> DataFrame:
-    """The rows of ``active`` in buckets whose members are of several classes."""
-    labelled = active.select("bucket", "node").join(classes, "node", "left").withColumn("cls", F.coalesce("cls", "node"))
-    mixed = labelled.groupBy("bucket").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).filter("lo < hi").select("bucket")
-    return active.join(mixed, "bucket", "left_semi")
+def labelled(rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """``rows`` with the class of their ``node`` (a node without links is its own)."""
+    return rows.join(classes, "node", "left").withColumn("cls", F.coalesce("cls", "node"))
 
 
 def near_duplicates(df: DataFrame, id_col: str, text_col: str, shingle: int = SHINGLE, threshold: float = THRESHOLD) -> DataFrame:
@@ -221,7 +221,7 @@ def near_duplicates(df: DataFrame, id_col: str, text_col: str, shingle: int = SH
     wanted = nodes.join(active.select("node").distinct(), "node", "left_semi").select("tid", "node")
     texts = src.withColumn("tid", F.md5("text")).join(wanted, "tid").dropDuplicates(["node"]).select("node", "text")
     numbered = scratch_table(texts.mapInArrow(number, "node long, sh binary, n int, odd array<long>"), "shingles")
-    active = scratch_table(active.join(numbered.select("node", "n", "odd"), "node"), "buckets")
+    active = scratch_table(active.join(numbered.select("node", "n", "odd"), "node").withColumn("cls", F.col("node")), "buckets")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -233,23 +233,23 @@ def near_duplicates(df: DataFrame, id_col: str, text_col: str, shingle: int = SH
 
     classes, met, pivots = None, None, 1
     while not active.isEmpty():
-        grouped = active.withColumn("cls", F.col("node")) if classes is None else active.join(classes, "node", "left").withColumn("cls", F.coalesce("cls", "node"))
         # the least members that have not been pivots yet; a limit by group, so no task sorts a whole bucket
         turn = F.row_number().over(Window.partitionBy("bucket").orderBy("node"))
-        chosen = grouped.withColumn("turn", turn).filter(F.col("turn") <= pivots).select("bucket", F.col("node").alias("a"), F.col("cls").alias("ca"), F.col("n").alias("na"), F.col("odd").alias("odd_a"))
-        pairs = grouped.withColumnRenamed("node", "b").join(chosen, "bucket").filter("a < b and ca <> cls").filter(may_reach(threshold)).select("a", "b").distinct()
+        chosen = active.withColumn("turn", turn).filter(F.col("turn") <= pivots).select("bucket", F.col("node").alias("a"), F.col("cls").alias("ca"), F.col("n").alias("na"), F.col("odd").alias("odd_a"))
+        pairs = active.withColumnRenamed("node", "b").join(chosen, "bucket").filter("a < b and ca <> cls").filter(may_reach(threshold)).select("a", "b").distinct()
         if met is not None:
             pairs = pairs.join(met, ["a", "b"], "left_anti")
         sides = [numbered.select(F.col("node").alias(c), F.col("sh").alias(f"sh_{c}")) for c in "ab"]
         judged = scratch_table(pairs.join(sides[0], "a").join(sides[1], "b").select("a", "b", "sh_a", "sh_b").mapInArrow(verify, "a long, b long, linked boolean"), "judged")
         met = judged if met is None else met.unionByName(judged)
         classes = join_classes(judged.filter("linked").select("a", "b"), classes)
-        # members that have not been pivots, in buckets where those are of several classes;
-        # buckets of one class go first, so that a large group that is done is not joined again
-        last = chosen.groupBy("bucket").agg(F.max("a").alias("last"))
-        rest = several_classes(active, classes).join(last, "bucket").filter("node > last").drop("last")
-        active = scratch_table(several_classes(rest, classes), "buckets")
-        pivots *= 4
+        # members that have not been pivots, in buckets where those are of several classes; the
+        # pivots leave by (bucket, node), so that a large bucket is dealt over many tasks
+        rest = active.select("bucket", "node").join(chosen.select("bucket", F.col("a").alias("node")), ["bucket", "node"], "left_anti")
+        rest = scratch_table(labelled(rest, classes), "rest")
+        mixed = rest.groupBy("bucket").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).filter("lo < hi").select("bucket")
+        active = scratch_table(active.drop("cls").join(rest.join(mixed, "bucket", "left_semi"), ["bucket", "node"]), "buckets")
+        pivots *= GROWTH
 
     named = nodes.select("tid", "rep", "node")
     if classes is None:
