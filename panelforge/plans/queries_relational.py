@@ -354,12 +354,12 @@ def q_lookup_code(spark, d):
     unknown names keep their row with a NULL code."""
     c = table(spark, d, "customer")
     n = table(spark, d, "nation")
-    raw = (c.join(F.broadcast(n), c.c_nationkey == n.n_nationkey, "left")
+    raw = (c.join(n, c.c_nationkey == n.n_nationkey, "left")
            .select("c_custkey", F.when(F.col("c_acctbal") < 0, F.lit("Atlantis"))
                    .otherwise(F.concat(F.lit("  "), F.upper("n_name"), F.lit(" "))).alias("name")))
     dim = n.select(F.lower(F.trim("n_name")).alias("_k"), F.col("n_nationkey").alias("Code"))
     return (raw.withColumn("_k", F.lower(F.trim("name")))
-            .join(F.broadcast(dim), "_k", "left").select("c_custkey", "Code"))
+            .join(dim, "_k", "left").select("c_custkey", "Code"))
 
 
 @query("semi_join_keys", R(with_(P1_CTE) + """
@@ -496,6 +496,6 @@ def q_join_left_lookup(spark, d):
     region, 25 rows: broadcast on a known row count), left join."""
     p = panels.nation_year_panel(spark, d).select("Code", "Year", "target")
     n, r = table(spark, d, "nation"), table(spark, d, "region")
-    dim = n.join(F.broadcast(r), n.n_regionkey == r.r_regionkey).select(
+    dim = n.join(r, n.n_regionkey == r.r_regionkey).select(
         F.col("n_nationkey").alias("Code"), F.col("r_name").alias("Region"))
     return rnd(rel.lookup_join(p, dim, "Code", "left", known_rows=25))
