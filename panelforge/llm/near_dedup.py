@@ -4,11 +4,18 @@
   A text is the sequence of its 5-word shingles, equal shingles numbered by
   occurrence; fewer than five words make one shingle.
 * Order MinHash: for each of ``FUNCTIONS`` hash functions the ``MINIMA`` least
-  numbered shingles are put in text order and hashed.  Two texts of shingle
-  similarity s share such a tuple with probability about s^MINIMA, so at
-  s = 0.8 a pair meets in no bucket with probability (1 - 0.8^8)^64 < 1e-5
+  numbered shingles are put in text order and hashed.  Two long texts of
+  shingle similarity s share such a tuple with probability about s^MINIMA, so
+  at s = 0.8 a pair meets in no bucket with probability (1 - 0.8^8)^64 < 1e-5
   (at 0.85 1e-9), while texts that only share a passage, s = 0.3 say, meet
-  with probability 0.004.
+  with probability 0.004.  With few shingles the probability is less, C(m,8) /
+  C(u,8) for m common ones of u, so texts of up to ``SHORT`` take another way:
+* Short texts meet by an exact prefix filter.  In an order common to all texts
+  (rare shingles first), the first ``COMBINED`` of the shingles that two similar
+  texts have aligned are among the first n - ceil(threshold n) + ``COMBINED`` of
+  either; every so many of those, in text order, are a bucket.  Texts of up to
+  ``SHORT`` / threshold shingles, all that a short text can be similar to, are
+  put there too, so no pair with a short text is lost.
 * Candidates are verified by alignment: numbered shingles are unique in a
   text, so the longest common subsequence of two texts is the longest
   increasing run of matched positions, and matches further off the diagonal
@@ -35,6 +42,7 @@ from __future__ import annotations
 import math
 from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -48,6 +56,8 @@ from panelforge.llm.common import scratch_table, slim
 SHINGLE, THRESHOLD = 5, 0.8
 FUNCTIONS, MINIMA = 64, 8
 SKETCH_BITS = 2048
+#: Texts of up to so many shingles are found by prefixes, that many shingles at a time.
+SHORT, COMBINED = 40, 2
 #: Pivots of a bucket in a round, as a multiple of those of the round before.
 GROWTH = 16
 CACHE_WORDS = 1 << 19
@@ -114,6 +124,20 @@ def tuples(sh: np.ndarray, functions: int = FUNCTIONS, minima: int = MINIMA) ->
     return out.view(np.int64)
 
 
+def prefix_buckets(size: int, shared: list[tuple[int, int, int]], threshold: float, combined: int = COMBINED) -> list[int]:
+    """Buckets of a text of ``size`` shingles, of which other texts have ``shared``
+    (number of texts, shingle, position).  The others come first in the order, in no bucket."""
+    least = math.ceil(threshold * size - 1e-9)
+    alone = size - len(shared)
+    ranked = sorted(shared)
+    out = []
+    # pairs with fewer aligned shingles than are combined (of tiny texts) meet by all of those
+    for k in range(max(1, min(least, combined)), combined + 1):
+        first = sorted(ranked[:max(0, min(size, size - least + k) - alone)], key=lambda x: x[2])
+        out += [xxhash.xxh64_intdigest(np.array([x[1] for x in some], np.int64).tobytes(), k) for some in combinations(first, k)]
+    return out
+
+
 def odd_sketch(sh: np.ndarray) -> np.ndarray:
     """Parity of the number of shingles at each place, packed into longs."""
     counts = np.bincount((sh >> np.uint64(8)).astype(np.int64) % SKETCH_BITS, minlength=SKETCH_BITS)
@@ -193,21 +217,40 @@ def labelled(rows: DataFrame, classes: DataFrame) -> DataFrame:
     return rows.join(classes, "node", "left").withColumn("cls", F.coalesce("cls", "node"))
 
 
+def short_buckets(nodes: DataFrame, threshold: float) -> DataFrame:
+    """``bucket``, ``node``: prefix buckets of the nodes that have ``short`` (their shingles)."""
+    own = nodes.select("node", F.size("short").alias("size"), F.posexplode("short").alias("at", "sh"))
+    shared = own.groupBy("sh").agg(F.count("*").alias("n")).filter("n > 1")
+    listed = own.join(shared, "sh").groupBy("node", "size").agg(F.collect_list(F.struct("n", "sh", "at")).alias("shared"))
+
+    def combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            got = [prefix_buckets(size, [(x["n"], x["sh"], x["at"]) for x in some], threshold) for size, some in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
+            named = np.array([x for some in got for x in some], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(named), pa.array(np.repeat(batch.column(0).to_numpy(), [len(x) for x in got]))], ["bucket", "node"])
+
+    return listed.mapInArrow(combine, "bucket long, node long")
+
+
 def near_duplicates(df: DataFrame, id_col: str, text_col: str, shingle: int = SHINGLE, threshold: float = THRESHOLD) -> DataFrame:
     """``key`` and ``class_id``, a row per input row."""
     src = slim(df, key=id_col, text=F.coalesce(df[text_col], F.lit("")))
     kind = src.schema["key"].dataType
+    with_prefix = math.floor(SHORT / threshold + 1e-9)
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got = [tuples(shingles(t.as_py(), shingle)) for t in batch.column(2)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(got, pa.list_(pa.int64()))], ["key", "tid", "tuples"])
+            got = [shingles(t.as_py(), shingle) for t in batch.column(2)]
+            long = [tuples(x if len(x) > SHORT else x[:0]) for x in got]
+            short = [(x if len(x) <= with_prefix else x[:0]).view(np.int64) for x in got]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(x, pa.list_(pa.int64())) for x in (long, short))], ["key", "tid", "tuples", "short"])
 
-    schema = T.StructType([T.StructField("key", kind), T.StructField("tid", T.StringType()), T.StructField("tuples", T.ArrayType(T.LongType()))])
+    schema = T.StructType([T.StructField("key", kind), T.StructField("tid", T.StringType()), *(T.StructField(x, T.ArrayType(T.LongType())) for x in ("tuples", "short"))])
     rows = scratch_table(src.select("key", F.md5("text").alias("tid"), "text").mapInArrow(sketch, schema), "sketches")
     # a node per distinct text; numbered once, on disk
-    nodes = scratch_table(rows.groupBy("tid").agg(F.min("key").alias("rep"), F.first("tuples").alias("tuples")).withColumn("node", F.monotonically_increasing_id()), "nodes")
+    nodes = scratch_table(rows.groupBy("tid").agg(F.min("key").alias("rep"), F.first("tuples").alias("tuples"), F.first("short").alias("short")).withColumn("node", F.monotonically_increasing_id()), "nodes")
     buckets = nodes.select("node", F.posexplode("tuples").alias("f", "t")).select(F.xxhash64("f", "t").alias("bucket"), "node")
+    buckets = buckets.unionByName(scratch_table(short_buckets(nodes, threshold), "prefixes"))
     shared = buckets.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").select("bucket")
     active = scratch_table(buckets.join(shared, "bucket", "left_semi"), "buckets")
 

@@ -173,6 +173,31 @@ def test_near_duplicates(spark, docs, rows, none):
     assert near_dedup.near_duplicates(none, "doc_id", "text").isEmpty()
 
 
+def test_near_duplicates_of_short_texts(spark):
+    # one to three words added, dropped or changed: many pairs near the threshold, of every length
+    rng, many = random.Random(12), []
+    for n in [*range(1, 21)] * 12 + [*range(21, 62)] * 2:
+        base = words(rng, n).split()
+        other = list(base)
+        for _ in range(rng.randint(1, 1 + n // 20)):
+            at = rng.choice([0, len(other) - 1])
+            other[at:at + rng.randint(0, 1)] = [f"edit{rng.randrange(10**6)}"] * rng.randint(0, 1)
+        many += [(len(many), " ".join(base)), (len(many) + 1, " \n".join(other))]
+    line = words(rng, 12)
+    many += [(len(many) + i, line + " " + words(rng, 1 + i % 9)) for i in range(120)]
+    got = near_dedup.near_duplicates(spark.createDataFrame(many, "doc_id long, text string"), "doc_id", "text").collect()
+    assert Counter((r["key"], r["class_id"]) for r in got) == brute_classes(many)
+    for threshold in (0.3, 0.5, 0.8, 0.9):
+        for _ in range(300):
+            a = rng.sample(range(100), rng.randint(1, 30))
+            b = [x for x in a if rng.random() < 0.95] + rng.sample(range(100, 200), rng.randint(0, 8))
+            seen = Counter(a + b)
+            m = sum(x in b for x in a)
+            if b and m >= threshold * (len(a) + len(b) - m):
+                x, y = (near_dedup.prefix_buckets(len(t), [(seen[v], v, i) for i, v in enumerate(t) if seen[v] > 1], threshold) for t in (a, b))
+                assert set(x) & set(y)
+
+
 def test_classes_joined_over_rounds(spark):
     rng, parent, classes = random.Random(5), list(range(300)), None
 
