@@ -39,16 +39,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Bytes of passages that occur more than once go; a character cut in two goes whole."""
-    cut = repeats.remove_repeats(docs, "doc_id", "text", carry=("lang", "source"))
-    cut = cut.select(F.col("key").alias("doc_id"), whole_characters(F.col("kept")).alias("text"), "row.lang", "row.source")
+    cut = repeats.remove_repeats(docs, "doc_id", "text", carry=("lang", "source"), characters=True)
+    cut = cut.select(F.col("key").alias("doc_id"), F.col("kept").cast("string").alias("text"), "row.lang", "row.source")
     return cut.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
-def whole_characters(raw):
-    """Binary to text without the bytes that are no UTF-8 character."""
-    return F.replace(F.make_valid_utf8(raw.cast("string")), F.lit("�"), F.lit(""))
-
-
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     rows = packing.pack(docs, "doc_id", "text", public_tokenizers.path(PACK_RANKS), public_tokenizers.PATTERN, PACK_SPECIAL)
     return rows.select(F.col("key").alias("doc_id"), "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")

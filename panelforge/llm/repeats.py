@@ -270,10 +270,26 @@ def merged(ranges: list[int] | None) -> np.ndarray:
     return np.stack([start[new], stop[np.append(np.flatnonzero(new)[1:] - 1, len(stop) - 1)]], axis=1)
 
 
-def remove_repeats(df: DataFrame, id_col: str, text_col: str, length: int = LENGTH, gram: int = GRAM, carry: Sequence[str] = ()) -> DataFrame:
+def to_characters(raw: bytes, spans: list[list[int]]) -> list[list[int]]:
+    """Spans moved outwards to the borders of UTF-8 characters, joined where they then meet."""
+    out: list[list[int]] = []
+    for start, stop in spans:
+        while 0 < start < len(raw) and raw[start] & 0xC0 == 0x80:
+            start -= 1
+        while stop < len(raw) and raw[stop] & 0xC0 == 0x80:
+            stop += 1
+        if out and start <= out[-1][1]:
+            out[-1][1] = stop
+        else:
+            out.append([start, stop])
+    return out
+
+
+def remove_repeats(df: DataFrame, id_col: str, text_col: str, length: int = LENGTH, gram: int = GRAM, carry: Sequence[str] = (), characters: bool = False) -> DataFrame:
     """``key``, ``n_bytes``, ``spans`` (array of structs start, stop: removed bytes,
     ascending), ``kept`` (binary: the remaining bytes) and, with ``carry``, a struct
-    ``row`` of those columns; a row per input row."""
+    ``row`` of those columns; a row per input row.  With ``characters``, a character
+    that a span cuts in two goes whole."""
     src = with_row(df, carry, key=id_col, text=F.coalesce(df[text_col], F.lit("")))
     src = src.withColumns({"th": F.xxhash64("text"), "nb": F.octet_length("text").bitwiseAND(F.lit(SIZE_MASK)).cast("int")})
     spans = repeated_spans(src, length, gram)
@@ -291,6 +307,8 @@ def remove_repeats(df: DataFrame, id_col: str, text_col: str, length: int = LENG
             for i, (text, ranges) in enumerate(zip(batch.column(1), batch.column(2))):
                 raw = text.as_buffer().to_pybytes()
                 gone = merged(ranges.as_py()).tolist()
+                if characters:
+                    gone = to_characters(raw, gone)
                 edges = [0, *(x for span in gone for x in span), len(raw)]
                 kept.append(b"".join(raw[a:b] for a, b in zip(edges[::2], edges[1::2])))
                 sizes.append(len(raw))

@@ -342,3 +342,19 @@ def test_pipeline(spark):
     assert counts[3] == want
     packed = corpus_pipeline.STAGES[-1][1](spark, kept, SF).groupBy("doc_id").agg(F.sum("length").alias("n"), F.max("doc_tokens").alias("m")).collect()
     assert {r["doc_id"] for r in packed} == set(want) and all(r["n"] == r["m"] for r in packed)
+
+
+def test_passages_keep_replacement_characters(spark):
+    import corpus_pipeline
+    rng = random.Random(8)
+    clean = "a \ufffd crawled \ufffd\ufffd page " + words(rng, 60)
+    # the characters around the passage share a byte with each other: both borders cut them in two
+    passage = "\u00e9" * 3 + words(rng, 60)
+    texts = [clean, "\ufffd one " + "\u0169" + passage + "\u00e9 end \ufffd", "two \u00e9" + passage + "\u00e8 stop \ufffd", None]
+    df = spark.createDataFrame([(i, t, "en", "web", len(t or "")) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r["doc_id"]: (r["text"], r["n_chars"]) for r in corpus_pipeline.repeated_passages(spark, df, SF).collect()}
+    # the halves left of doc 1 would make a character together
+    assert next(raw for k, _, _, raw in brute_kept(list(enumerate(texts)), 200) if k == 1) == "\ufffd one \u0169 end \ufffd".encode()
+    want = {0: clean, 1: "\ufffd one  end \ufffd", 2: "two  stop \ufffd", 3: ""}
+    assert got == {i: (t, len(t)) for i, t in want.items()}
+    assert repeats.to_characters("a\u20acb\u20ac".encode(), [[0, 2], [3, 6]]) == [[0, 8]]
