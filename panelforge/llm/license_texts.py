@@ -1,4 +1,10 @@
-"""Known licence texts and notices (fixed values, in their published wording)."""
+"""Known licence texts and notices (fixed values, in their published wording).
+
+Whole texts are known with and without their title; the long ones are files of
+``licenses``, of which the value in ``TITLE_LINES`` says how many lines the title has.
+"""
+
+from importlib import resources
 
 KNOWN_TEXTS = {
     # one-line notices
@@ -29,3 +35,38 @@ Permission is granted to anyone to use this software for any purpose, including
 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software.
 3. This notice may not be removed or altered from any source distribution.""",
 }
+
+TITLE_LINES = {"Apache-2.0": 3, "Artistic-1.0-Perl": 1, "BSD-2-Clause": 0, "BSD-3-Clause": 0, "BSD-3-Clause-UC": 0, "CC0-1.0": 2, "GFDL-1.2": 2, "GFDL-1.3": 2, "GPL-1.0": 2, "GPL-2.0": 2, "GPL-3.0": 2,
+               "LGPL-2.0": 2, "LGPL-2.1": 2, "LGPL-3.0": 2, "MPL-1.1": 3, "MPL-2.0": 2, "Unlicense": 0}
+#: Titles that texts without one in their own wording are found under.
+TITLES = {"0BSD": ("BSD Zero Clause License", "Zero-Clause BSD"), "BSD-2-Clause": ("BSD 2-Clause License", "The 2-Clause BSD License", "BSD License"), "BSD-3-Clause": ("BSD 3-Clause License", "The 3-Clause BSD License", "BSD License"),
+          "ISC": ("ISC License", "The ISC License"), "MIT": ("MIT License", "The MIT License", "The MIT License (MIT)"), "Unlicense": ("The Unlicense", "Unlicense"), "Zlib": ("zlib License", "The zlib License")}
+#: Texts after whose terms an appendix on how to use them may be left out.
+END = "END OF TERMS AND CONDITIONS"
+
+
+def _numbered(text: str) -> str:
+    """The text with the clauses that have a star numbered."""
+    first, *clauses = ("\n" + text).split("\n* ")
+    return first + "".join(f"\n{i}. {x}" for i, x in enumerate(clauses, 1))
+
+
+def _without_title(text: str, n: int) -> str:
+    lines = [x for x in text.split("\n") if x.strip()]
+    return "\n".join(lines[n:])
+
+
+for _name, _n in TITLE_LINES.items():
+    _text = resources.files("panelforge.llm").joinpath("licenses", f"{_name}.txt").read_text("utf-8")
+    _forms = {"": _text}
+    if _name in ("BSD-2-Clause", "BSD-3-Clause"):
+        _forms[", numbered"] = _numbered("\n".join(x.strip() for x in _text.split("\n")))
+    if END in _text and _text.split(END)[1].strip():
+        _forms[" without appendix"] = _text.split(END)[0] + END
+    for _form, _text in _forms.items():
+        KNOWN_TEXTS[f"{_name} text{_form}"] = _text
+        if _n:
+            KNOWN_TEXTS[f"{_name} text{_form}, no title"] = _without_title(_text, _n)
+for _name in [x for x in KNOWN_TEXTS if " text" in x]:
+    for _i, _title in enumerate(TITLES.get(_name.split(" text")[0], ())):
+        KNOWN_TEXTS[f"{_name}, title {_i + 1}"] = f"{_title}\n\n{KNOWN_TEXTS[_name]}"

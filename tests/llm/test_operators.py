@@ -358,3 +358,15 @@ def test_passages_keep_replacement_characters(spark):
     want = {0: clean, 1: "\ufffd one  end \ufffd", 2: "two  stop \ufffd", 3: ""}
     assert got == {i: (t, len(t)) for i, t in want.items()}
     assert repeats.to_characters("a\u20acb\u20ac".encode(), [[0, 2], [3, 6]]) == [[0, 8]]
+
+
+def test_whole_licenses_with_and_without_title(spark):
+    known = license_lookup.KNOWN_TEXTS
+    apache, bsd = known["Apache-2.0 text"], known["BSD-3-Clause text"]
+    files = {"MIT text, title 1": "MIT License\n\nCopyright (c) 2021 Someone\n\n" + known["MIT text"], "Apache-2.0 text": "\n" + apache, "Apache-2.0 text, no title": apache[apache.index("TERMS AND CONDITIONS"):],
+             "GPL-3.0 text": known["GPL-3.0 text"], "BSD-3-Clause text, title 1": "BSD 3-Clause License\n\nCopyright (c) 2019, A. Author\nAll rights reserved.\n\n" + bsd,
+             "BSD-3-Clause text, numbered": bsd.replace("* Redis", "1. Redis", 1).replace("* Redis", "2. Redis", 1).replace("* Neither", "3. Neither", 1),
+             "Unlicense text": "# " + known["Unlicense text"].replace("\n", "\n# "), "MPL-2.0 text": known["MPL-2.0 text"].upper()}
+    df = spark.createDataFrame([*files.items(), ("none", apache[:5000])], "doc_id string, text string")
+    got = {r["key"]: r["license"] for r in license_lookup.scan(df, "doc_id", "text").collect()}
+    assert got == {**{k: k for k in files}, "none": None}
