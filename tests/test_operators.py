@@ -374,3 +374,16 @@ def test_rbf_svr_fits_a_curve(spark):
     rbf = rg.Fitted("SVR", {}, rg.fit_svr(df, ["x"], "y", C=10.0, epsilon=0.1, kernel="rbf",
                                           n_components=50, max_iter=150), ["x"])
     assert rg.rmse_of(rbf, df, "y") < rg.rmse_of(lin, df, "y")
+
+
+def test_svr_reaches_the_optimum(spark):
+    x = np.linspace(-0.05, 0.05, 40)
+    df = spark.createDataFrame([(float(a), 1000.0 * float(a)) for a in x] + [(1.0, None)], "x double, y double")
+    for C, epsilon in ((1.0, 0.1), (100.0, 0.1), (1.0, 30.0)):
+        got = rg.fit_svr(df, ["x"], "y", C=C, epsilon=epsilon)
+        w, b = float(got.w[0]), float(got.b)
+        cost = lambda w, b: 0.5 * w * w + C * np.maximum(np.abs(1000 * x - w * x - b) - epsilon, 0).sum()
+        least = min(cost(v, 0.0) for v in np.linspace(0, 1000, 200001))  # symmetric: b = 0
+        assert cost(w, b) <= 1.01 * least + 1e-6
+    with pytest.raises(RuntimeError):
+        rg.fit_svr(df, ["x"], "y", C=100.0, max_iter=1)
