@@ -5,8 +5,8 @@
 2. A language keeps the terms of at least ``MIN_DOCS`` documents.  The counts of
    one term in all sources are its *vector*; terms of equal vectors are collapsed
    to one row with their number.
-3. The vocabulary is reordered by (total count, vector) with a range partitioning
-   into blocks, so that equal counts come to lie together.  Within a block the
+3. The vocabulary is reordered by (total count, sources that have the term, hash of
+   the vector) with a range partitioning into blocks, so that equal counts come to lie together.  Within a block the
    rows are put in the order of the columns with the fewest different counts first,
    and every source's column becomes runs of equal counts.
 4. For a pair of sources the borders of their runs are intersected; f of the two
@@ -119,12 +119,13 @@ def pair_sums(vectors: DataFrame, groups: DataFrame) -> DataFrame:
     """
     spark = vectors.sparkSession
     n = max(1, -(-vectors.count() // BLOCK_VECTORS))
-    blocks = vectors.repartitionByRange(n, "lang", "total", "vector").withColumn("block", F.spark_partition_id())
+    # the range bounds are sampled through the driver: a short key stands for the vector
+    blocks = vectors.repartitionByRange(n, "lang", "total", F.size("vector"), F.xxhash64("vector")).withColumn("block", F.spark_partition_id())
     blocks = scratch_table(blocks, "divergence-blocks")
-    cells = blocks.select("lang", "block", F.xxhash64("vector").alias("order"), "vector", "n_terms")
+    cells = blocks.select("lang", "block", "vector", "n_terms")
     heads = blocks.select("lang", "block").distinct().join(groups, "lang").groupBy("lang", "block").agg(
         F.sort_array(F.collect_list(F.struct("source", F.col("none").alias("p")))).alias("vector"))
-    rows = cells.unionByName(heads.select("lang", "block", F.lit(None).cast("long").alias("order"), "vector", F.lit(None).cast("long").alias("n_terms")))
+    rows = cells.unionByName(heads.select("lang", "block", "vector", F.lit(None).cast("long").alias("n_terms")))
 
     def intersect(table: pa.Table) -> pa.Table:
         sizes, vectors = table.column("n_terms").to_pylist(), table.column("vector").to_pylist()
