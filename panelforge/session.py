@@ -97,6 +97,14 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as Parquet below the shared checkpoint folder, read back: computed
+    once, its lineage cut, safe from lost executors."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def release_unreferenced(spark: SparkSession) -> None:
     """Let Spark's ContextCleaner reclaim broadcasts, shuffle files and
     cached blocks of DataFrames that are no longer referenced: drop the
