@@ -5,14 +5,14 @@ estimated by Hannan–Rissanen: (1) a long autoregression gives residual
 estimates, (2) Δy on its own lags, the lagged residuals and Δx by least
 squares.  Every step is a Spark job:
 
-* lags are equi-joins on (entity, position - k), where position comes from
-  the bucketed row numbering — no whole-entity window partition;
+* all lags of all columns come from one halo exchange
+  (:func:`panelforge.operators.timeorder.with_lags`); lags of Δy are differences of lags of y;
 * least squares per entity = one grouped aggregate of the cross products
   (map-side partial sums, so a hot entity is split across tasks) and a
   k x k solve per entity on that single moments row (``applyInPandas``
   over one row per group);
-* the forecast recursion runs per entity over the future rows only (the
-  horizon) with the fitted state attached.
+* residuals and forecasts are linear recurrences, run as affine prefix scans
+  over blocks of an entity's rows (:mod:`panelforge.operators.recurrence`).
 
 Entities whose system is short or singular get ``converged = false`` and a
 reason, and are excluded from pooled metrics (as upstream).  The trend
@@ -23,13 +23,16 @@ a plain column expression.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelforge.operators.timeorder import row_position
-from panelforge.session import cut_lineage
+from panelforge.operators.recurrence import final_state, linear_recurrence
+from panelforge.operators.timeorder import row_position, with_lags
+from panelforge.session import written
 
 COEF_SCHEMA = "converged boolean, error string, coef array<double>, n long"
 
@@ -39,26 +42,16 @@ def with_position(df: DataFrame, entity: str, period: str) -> DataFrame:
     return row_position(df, entity, period).drop("_b")
 
 
-def _plan_settings(df: DataFrame) -> None:
-    """Lag-by-join plans stack self-joins of one lineage; Catalyst's
-    constraint propagation is exponential in that shape, so it is turned
-    off for the session (it only infers extra filters)."""
-    df.sparkSession.conf.set("spark.sql.constraintPropagation.enabled", "false")
-
-
-def add_lags(df: DataFrame, entity: str, cols, lags, pos: str = "_rn") -> DataFrame:
-    """``{c}_l{k}``: value of ``c`` k rows earlier in the entity, by an
-    equi-join on (entity, position) — distributed, skew-safe."""
-    out = df
-    for k in lags:
-        prev = df.select(entity, (F.col(pos) + k).alias(pos),
-                         *[F.col(c).alias(f"{c}_l{k}") for c in cols])
-        out = out.join(prev, [entity, pos], "left")
-    return out
+def invertible(theta: np.ndarray) -> np.ndarray:
+    """The MA coefficients with the same autocorrelations whose innovations can be
+    recovered from the series: roots outside the unit circle are reflected into it."""
+    roots = np.roots(np.append(1.0, theta))
+    return np.real(np.poly(np.array([1 / np.conj(r) if abs(r) > 1 else r for r in roots])))[1:]
 
 
-def _solve_rows(names, ridge: list | None = None):
-    """applyInPandas body: one moments row per entity -> coefficients."""
+def _solve_rows(names, ridge: list | None = None, ma: slice | None = None):
+    """applyInPandas body: one moments row per entity -> coefficients (those at
+    ``ma`` made :func:`invertible`)."""
     k = len(names)
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -78,11 +71,13 @@ def _solve_rows(names, ridge: list | None = None):
         beta = np.linalg.solve(xtx, xty)
         if not np.all(np.isfinite(beta)):
             return pd.DataFrame([{**key, "converged": False, "error": "non-finite", "coef": None, "n": n}])
+        if ma is not None:
+            beta[ma] = invertible(beta[ma])
         return pd.DataFrame([{**key, "converged": True, "error": None, "coef": beta.tolist(), "n": n}])
     return solve
 
 
-def ols_by_entity(df: DataFrame, entity: str, y: str, xs, ridge: list | None = None) -> DataFrame:
+def ols_by_entity(df: DataFrame, entity: str, y: str, xs, ridge: list | None = None, ma: slice | None = None) -> DataFrame:
     """Least squares of y on xs (no implicit intercept; pass a column of
     ones to get one) per entity: rows with a NULL term are skipped."""
     xs = list(xs)
@@ -101,7 +96,7 @@ def ols_by_entity(df: DataFrame, entity: str, y: str, xs, ridge: list | None = N
     aggs += [s(F.col(xs[i]) * F.col(y)).alias(f"_xy_{i}") for i in range(k)]
     mom = df.groupBy(entity).agg(*aggs)
     etype = df.schema[entity].dataType.simpleString()
-    return mom.groupBy(entity).applyInPandas(_solve_rows(xs, ridge), f"{entity} {etype}, {COEF_SCHEMA}")
+    return mom.groupBy(entity).applyInPandas(_solve_rows(xs, ridge, ma), f"{entity} {etype}, {COEF_SCHEMA}")
 
 
 def _dot(coef: str, cols) -> F.Column:
@@ -110,132 +105,111 @@ def _dot(coef: str, cols) -> F.Column:
 
 
 # ------------------------------------------------------------------- ARIMAX
+def _numbers(cols) -> F.Column:
+    return F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in cols]).cast("array<double>")
+
+
+def _complete(cols) -> F.Column:
+    return reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in cols])
+
+
+def _difference(col: str, lag: int) -> F.Column:
+    """Δ of ``col``, ``lag`` rows earlier."""
+    return (F.col(f"{col}_lag{lag}") if lag else F.col(col)) - F.col(f"{col}_lag{lag + 1}")
+
+
 def fit_arimax(train: DataFrame, entity: str, period: str, target: str, exog=(),
                order=(1, 1, 1), long_ar: int | None = None) -> DataFrame:
     """ML22: one row per entity with (converged, error, phi, theta, beta)
     and the state needed to forecast (last level, last p differences,
-    last q residuals, last exog levels).  d must be 1."""
-    _plan_settings(train)
+    last q innovations, last exog levels).  d must be 1.
+
+    The innovations of the state are those of the fitted model, e_t = Δy_t - φ·Δy
+    lags - θ·e lags - β·Δx over the rows whose differences are known, e = 0 before."""
     p, d, q = order
     if d != 1:
         raise ValueError("only d = 1 is supported (differenced regression with ARMA errors)")
     exog = list(exog)
-    base = with_position(train.select(entity, period, target, *exog), entity, period)
-    lv = add_lags(base, entity, [target, *exog], [1])
-    dy = lv.withColumn("_dy", F.col(target) - F.col(f"{target}_l1"))
-    for c in exog:
-        dy = dy.withColumn(f"_dx_{c}", F.col(c) - F.col(f"{c}_l1"))
-    dxs = [f"_dx_{c}" for c in exog]
-    # Lineage is cut at each stage (reliable checkpoint in the shared
-    # folder): every lag is a join of one materialised frame with itself,
-    # so the plan stays linear in the number of lags.
-    core = cut_lineage(dy.select(entity, "_rn", period, target, "_dy", *dxs, *exog))
-
     m = (long_ar or max(p + q, 2)) if q > 0 else 0
-    frame = add_lags(core, entity, ["_dy"], range(1, max(m, p) + 1))
-    resid_cols = []
+    depth = max(m, p)
+    base = with_position(train.select(entity, period, target, *exog), entity, period)
+    base = with_lags(base, entity, {target: range(1, depth + 2)} | {c: [1] for c in exog})
+    ar_cols, dxs = [f"_dy_l{k}" for k in range(1, depth + 1)], [f"_dx_{i}" for i in range(len(exog))]
+    frame = base.select(entity, "_rn", period, target, *exog, _difference(target, 0).alias("_dy"),
+                        *[_difference(target, k).alias(c) for k, c in enumerate(ar_cols, 1)],
+                        *[_difference(c, 0).alias(x) for c, x in zip(exog, dxs)])
+    frame = written(frame, "arimax-rows")
+    xs, known = ar_cols[:p] + dxs, frame
     if q > 0:
-        xs1 = [f"_dy_l{k}" for k in range(1, m + 1)] + dxs
-        c1 = ols_by_entity(frame, entity, "_dy", xs1)
-        fr = frame.join(c1.select(entity, F.col("coef").alias("_c1")), entity, "left")
-        fr = fr.withColumn("_e", F.when(F.col("_c1").isNotNull(), F.col("_dy") - _dot("_c1", xs1)))
-        keep_cols = [entity, "_rn", period, target, "_dy", *dxs, *exog, "_e",
-                     *[f"_dy_l{k}" for k in range(1, p + 1)]]
-        frame = cut_lineage(fr.select(*keep_cols))
-        frame = add_lags(frame, entity, ["_e"], range(1, q + 1))
-        resid_cols = [f"_e_l{k}" for k in range(1, q + 1)]
-    ar_cols = [f"_dy_l{k}" for k in range(1, p + 1)]
-    xs = ar_cols + resid_cols + dxs
-    if not xs:
-        # (0,1,0): random walk, nothing to estimate
-        coef = core.select(entity).distinct().select(
+        long_xs = ar_cols[:m] + dxs
+        first = ols_by_entity(frame, entity, "_dy", long_xs).select(F.col(entity).alias("_ce"), F.col("coef").alias("_c1"))
+        known = frame.join(first, frame[entity].eqNullSafe(first["_ce"]), "left").drop("_ce")
+        known = known.withColumn("_e", F.when(F.col("_c1").isNotNull() & _complete(["_dy", *long_xs]), F.col("_dy") - _dot("_c1", long_xs)))
+        known = with_lags(known, entity, {"_e": range(1, q + 1)})
+        xs = ar_cols[:p] + [f"_e_lag{k}" for k in range(1, q + 1)] + dxs
+    if xs:
+        coef = ols_by_entity(known, entity, "_dy", xs, ma=slice(p, p + q) if q else None)
+    else:  # (0,1,0): random walk, nothing to estimate
+        coef = frame.select(entity).distinct().select(
             entity, F.lit(True).alias("converged"), F.lit(None).cast("string").alias("error"),
             F.array().cast("array<double>").alias("coef"), F.lit(0).cast("long").alias("n"))
+
+    def part(start: int, size: int) -> F.Column:
+        return F.slice(F.coalesce("coef", F.array().cast("array<double>")), start, size) if size else F.array().cast("array<double>")
+
+    coef = coef.withColumns({"phi": part(1, p), "theta": part(p + 1, q), "beta": part(p + q + 1, len(exog))}).drop("coef")
+    last = frame.groupBy(F.col(entity).alias("_le")).agg(
+        F.max_by(target, "_rn").alias("last_level"), F.max_by(period, "_rn").alias("last_period"),
+        F.max_by(_numbers(["_dy", *ar_cols[:max(p, 1) - 1]]), "_rn").alias("last_dy"), F.max_by(_numbers(exog), "_rn").alias("last_exog"))
+    model = written(coef.join(last, coef[entity].eqNullSafe(last["_le"])).drop("_le"), "arimax-coefficients")
+    none = F.array_repeat(F.lit(0.0), max(q, 1))
+    if q > 0:
+        fitted = model.filter("converged").select(F.col(entity).alias("_me"), "phi", "theta", "beta")
+        rows = frame.join(fitted, frame[entity].eqNullSafe(fitted["_me"])).drop("_me")
+        rows = rows.withColumns({"_x": F.col("_dy") - _dot("phi", ar_cols[:p]) - _dot("beta", dxs), "_a": F.transform("theta", lambda t: -t), "_0": none})
+        ends = final_state(rows.filter(_complete(["_dy", *ar_cols[:p], *dxs])), entity, "_rn", "_x", "_a", "_0", "last_e").withColumnRenamed(entity, "_ee")
+        model = model.join(ends, model[entity].eqNullSafe(ends["_ee"]), "left").drop("_ee").withColumn("last_e", F.coalesce("last_e", none))
     else:
-        coef = ols_by_entity(frame, entity, "_dy", xs)
-    coef = coef.cache()
-    coef.count()
-    # final residuals e_t = Δy_t - fitted (for the MA state)
-    fr2 = frame.join(coef.select(entity, F.col("coef").alias("_c2")), entity, "left")
-    fitted = _dot("_c2", xs) if xs else F.lit(0.0)
-    fr2 = fr2.withColumn("_e2", F.when(F.col("_c2").isNotNull() & F.col("_dy").isNotNull(),
-                                       F.col("_dy") - fitted))
-    # state from the last rows (max_by over positions: partial aggregation)
-    state_aggs = [F.max("_rn").alias("_last_rn"), F.max_by(target, "_rn").alias("last_level"),
-                  F.max_by(period, "_rn").alias("last_period")]
-    state_aggs += [F.max_by(c, "_rn").alias(f"last_{c}") for c in exog]
-    st = fr2.groupBy(entity).agg(*state_aggs)
-    tail = fr2.join(st.select(entity, "_last_rn"), entity).filter(
-        F.col("_rn") > F.col("_last_rn") - max(p, q, 1))
-    tails = tail.groupBy(entity).agg(
-        F.sort_array(F.collect_list(F.struct("_rn", "_dy", "_e2")), asc=False).alias("_tail"))
-    model = (coef.join(st, entity, "left").join(tails, entity, "left")
-             .withColumn("phi", F.slice(F.coalesce("coef", F.array().cast("array<double>")), 1, p)
-                         if p else F.array().cast("array<double>"))
-             .withColumn("theta", F.slice(F.col("coef"), p + 1, q) if q else F.array().cast("array<double>"))
-             .withColumn("beta", F.slice(F.col("coef"), p + q + 1, len(exog)) if exog
-                         else F.array().cast("array<double>"))
-             .withColumn("last_dy", F.transform(F.slice("_tail", 1, max(p, 1)), lambda s: s["_dy"]))
-             .withColumn("last_e", F.transform(F.slice("_tail", 1, max(q, 1)), lambda s: s["_e2"]))
-             .withColumn("last_exog", F.array(*[F.col(f"last_{c}").cast("double") for c in exog])
-                         if exog else F.array().cast("array<double>")))
+        model = model.withColumn("last_e", none)
     model = model.withColumn("p", F.lit(p)).withColumn("q", F.lit(q))
-    keep = [entity, "converged", "error", "n", "phi", "theta", "beta", "last_level", "last_period",
-            "last_dy", "last_e", "last_exog", "p", "q"]
-    # one row per entity: materialise once so evaluation / forecasting do
-    # not re-run the estimation lineage
-    out = model.select(*keep).cache()
-    out.count()
-    return out
-
-
-def _forecast_group(entity: str, period: str, exog, out: str):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(period)
-        r = pdf.iloc[0]
-        if not bool(r["converged"]):
-            return pd.DataFrame(columns=[entity, period, out])
-        p, q = int(r["p"]), int(r["q"])
-        def arr(v):
-            return [] if v is None else [0.0 if x is None or pd.isna(x) else float(x) for x in v]
-
-        phi, theta, beta = arr(r["phi"]), arr(r["theta"]), arr(r["beta"])
-        dys, es = arr(r["last_dy"]), arr(r["last_e"])
-        level = float(r["last_level"])
-        prev_x = arr(r["last_exog"])
-        preds = []
-        for _, row in pdf.iterrows():
-            x = [float(row[c]) for c in exog]
-            dx = [a - b for a, b in zip(x, prev_x)] if exog else []
-            step = sum(phi[i] * (dys[i] if i < len(dys) else 0.0) for i in range(p))
-            step += sum(theta[j] * (es[j] if j < len(es) else 0.0) for j in range(q))
-            step += sum(b * v for b, v in zip(beta, dx))
-            level = level + step
-            preds.append(level)
-            dys = [step] + dys
-            es = [0.0] + es
-            prev_x = x
-        return pd.DataFrame({entity: pdf[entity].values, period: pdf[period].values, out: preds})
-    return run
+    return written(model.select(entity, "converged", "error", "n", "phi", "theta", "beta", "last_level", "last_period",
+                                "last_dy", "last_e", "last_exog", "p", "q"), "arimax-models")
 
 
 def forecast_arimax(model: DataFrame, future: DataFrame, entity: str, period: str, exog=(),
-                    out: str = "predicted", strict: bool = False) -> DataFrame:
-    """ML23: walk forward through every future period of each entity
-    (exog required for each).  Entities without a converged model are
-    dropped (``strict=True``: an unknown entity raises)."""
+                    out: str = "predicted", strict: bool = True) -> DataFrame:
+    """ML23: forecasts for every future period of each entity (exog required for each).
+
+    The level follows a recurrence of order p + 1, (1 - B)(1 - φB) y = x, where x is β·Δx
+    and, for the first q steps, what the known innovations still
+    add.  An entity that the model lacks raises ``KeyError`` (``strict=False``: it has no
+    rows); entities whose model did not converge have no rows, as upstream."""
     exog = list(exog)
     if strict:
-        missing = future.select(entity).distinct().join(model.select(entity), entity, "left_anti")
-        if not missing.isEmpty():
-            listed = [r[0] for r in missing.limit(20).collect()]
+        known = model.select(F.col(entity).alias("_me"))
+        missing = future.select(entity).distinct()
+        missing = missing.join(known, missing[entity].eqNullSafe(known["_me"]), "left_anti")
+        listed = [r[0] for r in missing.limit(20).collect()]
+        if listed:
             raise KeyError(f"no fitted model for {missing.count()} entities, among them {listed}")
-    j = future.select(entity, period, *exog).join(model, entity, "inner")
-    etype = future.schema[entity].dataType.simpleString()
-    ptype = future.schema[period].dataType.simpleString()
-    res = j.groupBy(entity).applyInPandas(_forecast_group(entity, period, exog, out),
-                                          f"{entity} {etype}, {period} {ptype}, {out} double")
-    return res.cache()
+    shape = model.select("p", "q").first()
+    p, q = (shape["p"], shape["q"]) if shape else (0, 0)
+    rows = with_lags(with_position(future.select(entity, period, *exog), entity, period), entity, {c: [1] for c in exog})
+    fitted = model.filter("converged").withColumnRenamed(entity, "_me")
+    rows = rows.join(fitted, rows[entity].eqNullSafe(fitted["_me"]))
+    h = F.col("_rn")
+    x = F.lit(0.0)
+    for i, c in enumerate(exog):
+        before = F.when(h == 1, F.col("last_exog")[i]).otherwise(F.col(f"{c}_lag1"))
+        x = x + F.col("beta")[i] * (F.col(c) - before)
+    for j in range(q):  # θ_{j+1} meets the innovation h - 1 - j steps after the last one
+        x = x + F.coalesce(F.when(h <= j + 1, F.col("theta")[j] * F.get("last_e", j + 1 - h.cast("int"))), F.lit(0.0))
+    phi = [F.lit(-1.0), *[F.col("phi")[i] for i in range(p)], F.lit(0.0)]
+    levels = [F.col("last_level").cast("double")]
+    for i in range(p):
+        levels.append(levels[-1] - F.col("last_dy")[i])
+    rows = rows.select(entity, "_rn", period, x.alias("_x"), F.array(*[phi[i + 1] - phi[i] for i in range(p + 1)]).alias("_a"), F.array(*levels).alias("_l"))
+    return written(linear_recurrence(rows, entity, "_rn", "_x", "_a", "_l", out, keep=[period]), "arimax-forecasts")
 
 
 def evaluate_forecasts(model: DataFrame, fc: DataFrame, future: DataFrame, entity: str, period: str,

@@ -337,8 +337,8 @@ def ari_nmi(df: DataFrame, truth: str, pred: str) -> DataFrame:
 
 def lag1_autocorr(df: DataFrame, entity: str, period: str, value: str) -> DataFrame:
     """AGG25: pooled correlation of y with its previous-period value (lag
-    by an equi-join on position, skew-safe)."""
-    from panelforge.operators.timeorder import lag_by_join
-    d = lag_by_join(df.select(entity, period, value), entity, period, value, [1])
+    by halo exchange, skew-safe)."""
+    from panelforge.operators.timeorder import lag_by_halo
+    d = lag_by_halo(df.select(entity, period, value), entity, period, value, [1])
     return d.agg(safe_corr(value, f"{value}_lag1").alias("lag1_autocorr"),
                  F.count(F.col(f"{value}_lag1")).alias("n_pairs"))

@@ -11,32 +11,65 @@ aggregates, which combine partial results map side.
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterable, Mapping
+
 from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
 UNB_P, UNB_F, CUR = W.unboundedPreceding, W.unboundedFollowing, W.currentRow
 
-# Default width of a period bucket, in period units.  Small panels fit in
-# one bucket; a long series is cut into slices of this many periods.
-DEFAULT_BUCKET = 64
+#: Rows that a bucket of the densest entity should have, if its periods are spread evenly.
+BUCKET_ROWS = 4096
+
+
+def bucket_width(df: DataFrame, entity: str, period: str, rows: int = BUCKET_ROWS) -> float:
+    """Width of a period bucket, in period units: the one at which the densest
+    entity has ``rows`` rows a bucket.  A panel of short series is one bucket."""
+    per = F.col(period).cast("double")
+    n, span = F.count(per), F.max(per) - F.min(per) + 1
+    dense = df.groupBy(entity).agg((n / span).alias("rate")).agg(F.max("rate")).first()[0]
+    return max(1.0, math.ceil(rows / dense)) if dense else 1.0
 
 
-def _bucket(period: str, width: int) -> Column:
+def _bucket(period: str, width: float) -> Column:
     return F.floor(F.col(period).cast("double") / F.lit(float(width))).cast("long")
 
 
-def row_position(df: DataFrame, entity: str, period: str, width: int = DEFAULT_BUCKET,
+def row_position(df: DataFrame, entity: str, period: str, width: float | None = None,
                  out: str = "_rn") -> DataFrame:
-    """1-based position of each row within its entity, ordered by period:
-    local row_number per (entity, bucket) + the row count of all earlier
-    buckets (a window over bucket summaries)."""
-    d = df.withColumn("_b", _bucket(period, width))
+    """1-based position of each row within its entity, ordered by period (NULL
+    first): local row_number per (entity, bucket) + the row count of all earlier
+    buckets (a window over bucket summaries).  The width of the buckets comes from the data
+    unless given.  A NULL entity is an entity."""
+    d = df.withColumn("_b", _bucket(period, width or bucket_width(df, entity, period)))
     d = d.withColumn("_lrn", F.row_number().over(W.partitionBy(entity, "_b").orderBy(period)))
-    sizes = d.groupBy(entity, "_b").agg(F.count(F.lit(1)).alias("_bn"))
+    sizes = d.groupBy(F.col(entity).alias("_se"), F.col("_b").alias("_sb")).agg(F.count(F.lit(1)).alias("_bn"))
     sizes = sizes.withColumn("_off", F.coalesce(F.sum("_bn").over(
-        W.partitionBy(entity).orderBy("_b").rowsBetween(UNB_P, -1)), F.lit(0)))
-    d = d.join(sizes.select(entity, "_b", "_off"), [entity, "_b"])
-    return d.withColumn(out, F.col("_off") + F.col("_lrn")).drop("_off", "_lrn")
+        W.partitionBy("_se").orderBy("_sb").rowsBetween(UNB_P, -1)), F.lit(0)))
+    d = d.join(sizes, d[entity].eqNullSafe(sizes["_se"]) & d["_b"].eqNullSafe(sizes["_sb"]))
+    return d.withColumn(out, F.col("_off") + F.col("_lrn")).drop("_off", "_lrn", "_se", "_sb", "_bn")
+
+
+def with_lags(df: DataFrame, entity: str, lags: Mapping[str, Iterable[int]], pos: str = "_rn", rows: int = BUCKET_ROWS) -> DataFrame:
+    """``{c}_lag{k}``: the value of column ``c`` k rows earlier in its entity, for all
+    columns and lags in one exchange.
+
+    Rows are dealt by (entity, block of positions); the last rows of a block, as many
+    as the longest lag, also go to the next block as its halo, and within a block
+    a lag is a plain ``lag``.  ``pos`` has positions 1, 2, ... (:func:`row_position`)."""
+    lags = {c: sorted(set(ks)) for c, ks in lags.items()}
+    longest = max((k for ks in lags.values() for k in ks), default=0)
+    if longest < 1:
+        return df
+    rows = max(rows, 4 * longest)
+    block = F.floor((F.col(pos) - 1) / rows).cast("long")
+    halo = F.col(pos) > (block + 1) * rows - longest
+    own, copy = (F.struct((block + i).alias("_block"), F.lit(i == 1).alias("_halo")) for i in (0, 1))
+    d = df.withColumn("_h", F.explode(F.when(halo, F.array(own, copy)).otherwise(F.array(own)))).select(*df.columns, "_h._block", "_h._halo")
+    order = W.partitionBy(entity, "_block").orderBy(pos)
+    d = d.withColumns({f"{c}_lag{k}": F.lag(c, k).over(order) for c, ks in lags.items() for k in ks})
+    return d.filter(~F.col("_halo")).drop("_block", "_halo")
 
 
 def prev_next_known(d: DataFrame, entity: str, period: str, value: str, pos: str = "_rn"):
@@ -74,7 +107,7 @@ def prev_next_known(d: DataFrame, entity: str, period: str, value: str, pos: str
 
 
 def impute_trend(df: DataFrame, columns, entity: str = "Country", period: str = "Year",
-                 boundary: str = "flat_trailing", width: int = DEFAULT_BUCKET) -> DataFrame:
+                 boundary: str = "flat_trailing", width: float | None = None) -> DataFrame:
     """WIN1 / WIN1b: fill gaps of each column per entity.
 
     ``boundary='flat_trailing'`` (what the upstream code actually does):
@@ -185,23 +218,18 @@ def trend_with_connector(actual: DataFrame, forecasts: DataFrame, entity: str, p
 
 def horizon_index(future: DataFrame, entity: str, period: str, out: str = "h") -> DataFrame:
     """WIN9: forecast step (1, 2, ...) of each future row per entity."""
-    return future.withColumn(out, F.row_number().over(W.partitionBy(entity).orderBy(period)))
+    return row_position(future, entity, period, out=out).drop("_b").withColumn(out, F.col(out).cast("int"))
 
 
-def lag_by_join(df: DataFrame, entity: str, period: str, value: str, lags=(1,)) -> DataFrame:
+def lag_by_halo(df: DataFrame, entity: str, period: str, value: str, lags=(1,)) -> DataFrame:
     """``{value}_lag{k}``: the value k rows earlier in the entity (period
-    order), as equi-joins on (entity, position) — no whole-entity window,
-    so a hot entity is spread over many tasks."""
+    order), four exchanges for any number of lags (:func:`with_lags`)."""
     d = row_position(df, entity, period).drop("_b")
-    base = d.select(entity, "_rn", value)
-    for k in lags:
-        prev = base.select(entity, (F.col("_rn") + k).alias("_rn"), F.col(value).alias(f"{value}_lag{k}"))
-        d = d.join(prev, [entity, "_rn"], "left")
-    return d.drop("_rn")
+    return with_lags(d, entity, {value: lags}).drop("_rn")
 
 
 def lag_diff(df: DataFrame, entity: str, period: str, value: str, lags=(1,)) -> DataFrame:
     """WIN10: lags and the first difference of ``value`` per entity."""
     lags = sorted(set(lags) | {1})
-    d = lag_by_join(df, entity, period, value, lags)
+    d = lag_by_halo(df, entity, period, value, lags)
     return d.withColumn(f"{value}_diff", F.col(value) - F.col(f"{value}_lag1"))

@@ -123,9 +123,9 @@ def customer_quarter_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
 # actual, predicted) for the Test and Val splits.
 def pseudo_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     from panelforge.operators.splits import temporal_split
-    from panelforge.operators.timeorder import lag_by_join
+    from panelforge.operators.timeorder import lag_by_halo
     p = temporal_split(nation_year_panel(spark, sf_dir), "Year")
-    p = lag_by_join(p, "Code", "Year", "target", [1]).withColumnRenamed("target_lag1", "_lag")
+    p = lag_by_halo(p, "Code", "Year", "target", [1]).withColumnRenamed("target_lag1", "_lag")
     tm = (p.filter(F.col("split") == "train").groupBy("Code")
           .agg(F.avg("target").alias("_tm")))
     p = p.join(tm, "Code", "left").filter(F.col("split") != "train")

@@ -112,10 +112,10 @@ SELECT Model, CV_RMSE, RMSE, MAE, R2, CAST(NULL AS DOUBLE) AS Time_s FROM mt LEF
 def q_results_table(spark, d):
     """ML14: Model, CV_RMSE, RMSE, MAE, R2, Time_s for the Test split,
     sorted by RMSE (pseudo models; CV_RMSE = in-sample train RMSE)."""
-    from panelforge.operators.timeorder import lag_by_join
+    from panelforge.operators.timeorder import lag_by_halo
     pr = panels.pseudo_predictions(spark, d)
     p = _split_p1(spark, d).filter("split = 'train'")
-    tr = lag_by_join(p, "Code", "Year", "target", [1]).withColumnRenamed("target_lag1", "_lag")
+    tr = lag_by_halo(p, "Code", "Year", "target", [1]).withColumnRenamed("target_lag1", "_lag")
     tm = tr.groupBy("Code").agg(F.avg("target").alias("_tm"))
     tr = tr.join(tm, "Code")
     cvr = (tr.select(F.lit("lag1").alias("Model"), F.col("_lag").alias("predicted"), F.col("target").alias("actual"))
@@ -235,10 +235,11 @@ def q_ablation(spark, d):
     """ML12: Ridge with all predictors vs without two of them (by
     exclusion), Val metrics side by side."""
     from panelforge.operators.relational import predictor_list
+    from panelforge.session import Panel
     p = _split_p1(spark, d)
     rows = None
     for tag, extra in (("all", []), ("ablated", ["n_orders", "tax_mean"])):
-        feats = predictor_list(p.drop("split"), ["Country", "Code", "Year", "Region"], "target", extra)
+        feats = predictor_list(p.drop("split"), Panel(), extra)
         train = p.filter("split = 'train'")
         params = sc.fit_robust_scaler(train, feats)
         s = sc.apply_scaler(p, params)

@@ -12,6 +12,7 @@ from panelforge.plans import panels
 from panelforge.plans.panels import P1_PREDICTORS, table
 from panelforge.plans.registry import R, query, rnd
 from panelforge.plans.sql_panels import P1_CTE, P1_DOUBLES, P2_CTE, with_
+from panelforge.session import Panel
 
 P1_COLS = ["Country", "Code", "Region", "Year", "target", *P1_PREDICTORS]
 
@@ -180,9 +181,9 @@ def q_project_rename(spark, d):
 SELECT n_orders, acctbal_mean, urgent_share, discount_mean, tax_mean, price_mean FROM p1""",
                            ["acctbal_mean", "urgent_share", "discount_mean", "tax_mean", "price_mean"]))
 def q_predictor_list(spark, d):
-    """PRJ2: predictors by exclusion (ids, target, extra), schema order."""
+    """PRJ2: the columns without a role in the panel, less one left out, in schema order."""
     p = panels.nation_year_panel(spark, d)
-    cols = rel.predictor_list(p, ["Country", "Code", "Year", "Region"], "target", ["qty_mean"])
+    cols = rel.predictor_list(p, Panel(), leave_out=["qty_mean"])
     return rnd(p.select(*cols))
 
 

@@ -29,9 +29,6 @@ def get_spark(master: str | None = None, app: str = "panelforge",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
-        # lag-by-join plans (forecasting) stack self-joins; constraint
-        # propagation is exponential there and only infers filters
-        "spark.sql.constraintPropagation.enabled": "false",
         # Broadcast only tables the planner can prove small; the explicit
         # broadcasts in this package are fixed-size dimensions or
         # bounded parameter rows.
@@ -127,7 +124,7 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 class Panel:
     """Column roles of an entity x period panel.
 
-    ``predictors`` empty means "every column not an id / target"
+    ``predictors`` empty means every column without a role
     (see :func:`panelforge.operators.relational.predictor_list`).
     """
     entity: str = "Code"
@@ -137,3 +134,8 @@ class Panel:
     ids: tuple = ("Country", "Code", "Year", "Region")
     name: str = "Country"
     group: str = "Region"
+
+    @property
+    def roles(self) -> frozenset:
+        """All columns that have a role."""
+        return frozenset({*self.ids, self.entity, self.period, self.name, self.group, self.target})
