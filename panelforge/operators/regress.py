@@ -1,17 +1,15 @@
 """Regression models, grid search and evaluation (ML2-ML14).
 
-Estimators are ``pyspark.ml`` where Spark has one (linear, random
-forest, gradient-boosted trees).  Linear SVR (and its RBF variant through
+Forests and gradient-boosted trees are ``pyspark.ml``; Ridge and Lasso are
+solved from additive moments, a whole grid in one pass.  Linear SVR (and its RBF variant through
 random Fourier features) has no Spark estimator: it is fitted here by
 full-batch gradient steps, each one distributed aggregate over the cached
 training rows (the same shape as Spark's own LinearSVC / L-BFGS loops),
 the k+1 parameters living on the driver.
 
 Parameter mapping to the reference estimators, checked numerically:
-* Ridge(alpha)  -> LinearRegression(solver="normal", elasticNetParam=0,
-  standardization=False, regParam=alpha·σ_pop(y)/n)   (exact closed form)
-* Lasso(alpha)  -> LinearRegression(elasticNetParam=1, standardization=False,
-  regParam=alpha)                                      (coordinate descent)
+* Ridge(alpha), Lasso(alpha) -> solved from cross products
+  (:mod:`panelforge.operators.moments`), the same objectives
 * RandomForest  -> RandomForestRegressor; max_depth None -> 30 (Spark's
   limit); min_samples_split s -> minInstancesPerNode ceil(s/2).
 * XGBoost role  -> GBTRegressor (no second-order / lambda term).
@@ -29,10 +27,12 @@ import time
 
 import numpy as np
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
+from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from panelforge.operators.moments import FITS, fold_moments, moments_by
+
 FEATURES = "_features"
 
 # The reference hyper-parameter grids (sizes 6, 6, 24, 72, 48, 36).
@@ -354,17 +354,11 @@ def fit_model(name: str, params: dict, train: DataFrame, features, label: str) -
         return Fitted(name, params, fit_svr(train, features, label, params.get("C", 1.0),
                                             params.get("epsilon", 0.1),
                                             params.get("kernel", "linear")), features)
+    if name in FITS:
+        w, intercept = FITS[name](moments_by(train, features, label)[None], float(params["alpha"]))
+        return Fitted(name, params, LinearExprModel(features, w, intercept), features)
     data = assemble(train, features)
-    if name == "Ridge":
-        st = train.agg(F.count(label).alias("n"), F.stddev_pop(label).alias("s")).first()
-        reg = params["alpha"] * (st["s"] or 0.0) / max(st["n"], 1)
-        est = LinearRegression(featuresCol=FEATURES, labelCol=label, solver="normal",
-                               elasticNetParam=0.0, regParam=reg, standardization=False)
-    elif name == "Lasso":
-        est = LinearRegression(featuresCol=FEATURES, labelCol=label, elasticNetParam=1.0,
-                               regParam=float(params["alpha"]), standardization=False,
-                               maxIter=int(params.get("max_iter", 1000)), tol=1e-9)
-    elif name == "Random Forest":
+    if name == "Random Forest":
         mf = params.get("max_features", "sqrt")
         est = RandomForestRegressor(
             featuresCol=FEATURES, labelCol=label, numTrees=int(params["n_estimators"]),
@@ -413,8 +407,10 @@ def grid_search(name: str, grid: dict, train: DataFrame, folds: DataFrame, featu
     best cv rmse, seconds)."""
     from concurrent.futures import ThreadPoolExecutor
     t0 = time.time()
-    folds = folds.cache()
     cells = grid_cells(grid)
+    if name in FITS:
+        return _linear_grid(name, cells, train.sparkSession, folds, list(features), label, n_folds, kind, t0)
+    folds = folds.cache()
     jobs = [(ci, f, tr, te) for ci in range(len(cells)) for f, tr, te in
             cv_pairs(train, folds, n_folds, kind)]
 
@@ -439,6 +435,22 @@ def grid_search(name: str, grid: dict, train: DataFrame, folds: DataFrame, featu
     return fitted, scores, float(np.mean(mean[best_ci])), secs
 
 
+def _linear_grid(name: str, cells: list, spark, folds: DataFrame, features: list, label: str, n_folds: int, kind: str, t0: float):
+    """:func:`grid_search` of Ridge or Lasso: one pass over the rows for all cells and folds."""
+    pairs, whole = fold_moments(folds, features, label, n_folds, kind)
+    rows = []
+    for params in cells:
+        for f, (tr, te) in enumerate(pairs):
+            w, b = FITS[name](tr, float(params["alpha"]))
+            rows.append((name, json.dumps(params, sort_keys=True), f, math.sqrt(te.squared_error(w, b) / te.n)))
+    mean = [float(np.mean([r[3] for r in rows[i * len(pairs):(i + 1) * len(pairs)]])) for i in range(len(cells))]
+    best = int(np.argmin(mean))
+    w, b = FITS[name](whole, float(cells[best]["alpha"]))
+    fitted = Fitted(name, cells[best], LinearExprModel(features, w, b), features)
+    scores = spark.createDataFrame(rows, "Model string, params string, fold int, rmse double")
+    return fitted, scores, mean[best], time.time() - t0
+
+
 def predictions(fitted: Fitted, df: DataFrame, label: str, keep, split: str) -> DataFrame:
     """Long predictions rows (Model, Split, keep..., actual, predicted)."""
     return fitted.transform(df).select(F.lit(fitted.name).alias("Model"), F.lit(split).alias("Split"),
@@ -506,7 +518,7 @@ def load_fitted(spark, path: str) -> Fitted:
     """SNK4: inverse of :func:`save_fitted`; a missing path raises."""
     meta = json.loads(spark.read.json(path + "/meta").first()["meta"])
     name, feats = meta["name"], meta["features"]
-    if name == "SVR":
+    if name in ("SVR", *FITS):
         rows = spark.read.parquet(path + "/svr").collect()
         get = lambda k: [r["value"] for r in sorted((r for r in rows if r["kind"] == k),
                                                      key=lambda r: r["idx"])]
@@ -519,8 +531,6 @@ def load_fitted(spark, path: str) -> Fitted:
         trees = [(list(zip(r["features"], r["thresholds"])), list(r["leaves"])) for r in rows[1:]]
         model = ObliviousBoostModel(rows[0]["features"], rows[0]["leaves"][0], trees)
         return Fitted(name, meta["params"], model, feats)
-    from pyspark.ml.regression import (GBTRegressionModel, LinearRegressionModel,
-                                       RandomForestRegressionModel)
-    cls = {"Ridge": LinearRegressionModel, "Lasso": LinearRegressionModel,
-           "Random Forest": RandomForestRegressionModel, "XGBoost": GBTRegressionModel}[name]
+    from pyspark.ml.regression import GBTRegressionModel, RandomForestRegressionModel
+    cls = {"Random Forest": RandomForestRegressionModel, "XGBoost": GBTRegressionModel}[name]
     return Fitted(name, meta["params"], cls.load(path + "/model"), feats)

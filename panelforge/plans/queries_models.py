@@ -82,6 +82,29 @@ def q_grid_1f(spark, d):
     return rnd(scores, 4)
 
 
+@query("grid_search_ridge_2f", with_(P1_CTE) + """
+, r AS (SELECT qty_mean AS x1, price_mean AS x2, target AS y, row_number() OVER (ORDER BY Year, Code) - 1 AS pos, count(*) OVER () AS n FROM p1),
+s AS (SELECT *, n - 5 * (n // 6) AS start, n // 6 AS t FROM r),
+u AS (SELECT fold, x1, x2, y, pos < start + fold * t AS train FROM s, range(5) k(fold) WHERE pos < start + (fold + 1) * t),
+a AS (SELECT CAST(alpha AS DOUBLE) AS alpha, params FROM (VALUES """ + ", ".join(
+    f"({a}, '{{\"alpha\": {a}}}')" for a in _ALPHAS) + """) t(alpha, params)),
+mu AS (SELECT fold, avg(x1) AS m1, avg(x2) AS m2, avg(y) AS my FROM u WHERE train GROUP BY fold),
+mo AS (SELECT fold, any_value(m1) AS m1, any_value(m2) AS m2, any_value(my) AS my, sum((x1 - m1) * (x1 - m1)) AS s11, sum((x1 - m1) * (x2 - m2)) AS s12,
+              sum((x2 - m2) * (x2 - m2)) AS s22, sum((x1 - m1) * (y - my)) AS s1y, sum((x2 - m2) * (y - my)) AS s2y FROM u JOIN mu USING (fold) WHERE train GROUP BY fold),
+d AS (SELECT *, (s11 + alpha) * (s22 + alpha) - s12 * s12 AS det FROM a, mo),
+fit AS (SELECT params, fold, ((s22 + alpha) * s1y - s12 * s2y) / det AS w1, ((s11 + alpha) * s2y - s12 * s1y) / det AS w2, m1, m2, my FROM d)
+SELECT 'Ridge' AS Model, params, CAST(fold AS INTEGER) AS fold,
+       round(sqrt(avg(power(y - my - w1 * (x1 - m1) - w2 * (x2 - m2), 2))), 4) AS rmse
+FROM fit JOIN u USING (fold) WHERE NOT train GROUP BY params, fold""")
+def q_grid_2f(spark, d):
+    """ML9 (checkable): held-out RMSE of Ridge over the reference alpha grid and
+    the expanding design, two predictors."""
+    p = panels.nation_year_panel(spark, d)
+    folds = spl.timeseries_cv(p, ["Year", "Code"], 5)
+    _, scores, _, _ = rg.grid_search("Ridge", {"alpha": _ALPHAS}, p, folds, ["qty_mean", "price_mean"], "target", 5, "timeseries")
+    return rnd(scores, 4)
+
+
 # Example scoring coefficients (intercept, then one per scaled feature).
 FIXED_INTERCEPT = 150000.0
 FIXED_COEF = [1000.0, -2000.0, 500.0, 3000.0]
