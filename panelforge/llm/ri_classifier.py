@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from panelforge.llm.common import handed_on, id_hash, slim, with_row
+from panelforge.llm.common import by_bytes, handed_text, id_hash, rest_of_row, row_of, slim, with_row
 
 SLOTS, DIM, NONZERO, REACH = 1 << 14, 48, 4, 2
 BLOCK_SLOTS = 512
@@ -105,6 +105,7 @@ def word_table(df: DataFrame, text_col: str) -> np.ndarray:
         if held:
             flush()
         if seen:
+            _slots.clear()
             blocks = total[:SLOTS * DIM].reshape(-1, BLOCK_SLOTS * DIM)
             some = np.flatnonzero(blocks.any(axis=1))
             yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([blocks[b].astype("<f4").tobytes() for b in some], pa.binary())], ["block", "sums"])
@@ -198,7 +199,7 @@ def classify(df: DataFrame, id_col: str, text_col: str, labels: DataFrame, label
     """``key``, ``held_out`` (fold 0: never trained on), ``score``, ``predicted``
     and, with ``carry``, a struct ``row`` of those columns; a row per input row."""
     spark = df.sparkSession
-    src = with_row(df, carry, key=id_col, text=text_col)
+    src = with_row(df, rest_of_row(carry, text_col), key=id_col, text=text_col)
     known = slim(labels, key=label_id, y=labels[label_col].cast("double")).filter("key is not null and y is not null and not isnan(y)").groupBy("key").agg((F.avg("y") >= 0.5).cast("int").alias("y"))
     known = known.filter(id_fold(F.col("key")) != 0)
     # at most max_train rows, chosen by hash so that more data only draws another sample
@@ -222,13 +223,14 @@ def classify(df: DataFrame, id_col: str, text_col: str, labels: DataFrame, label
     else:  # no labels: nothing is known about quality
         net = Network(np.zeros(2 * DIM + 1), np.ones(2 * DIM + 1), np.zeros((2 * DIM + 1, 1)), np.zeros(1), np.zeros(1), 0.0)
 
-    scored_schema = T.StructType([T.StructField("key", kind), T.StructField("score", T.DoubleType()), *handed_on(src)])
+    scored_schema = T.StructType([T.StructField("key", kind), T.StructField("score", T.DoubleType()), *(handed := handed_text(src, carry, text_col))])
+    handed = [f.name for f in handed]
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                x = np.stack([pooled(t.as_py(), table2.value) for t in batch.column(1)])
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(net.scores(x), pa.float64()), *batch.columns[2:]], scored_schema.names)
+        for batch in (part for whole in batches for part in by_bytes(whole, 1)):
+            x = np.stack([pooled(t.as_py(), table2.value) for t in batch.column(1)])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(net.scores(x), pa.float64()), *(batch.column(c) for c in handed)], scored_schema.names)
+        _slots.clear()  # a worker that is used again starts without this stage's words
 
     scored = src.mapInArrow(score, scored_schema)
-    return scored.select("key", (id_fold(F.col("key")) == 0).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), *scored_schema.names[2:])
+    return scored.select("key", (id_fold(F.col("key")) == 0).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), *row_of(carry, text_col))

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from panelforge.llm.common import handed_on, id_hash, slim, with_row
+from panelforge.llm.common import by_bytes, handed_text, id_hash, rest_of_row, row_of, slim, with_row
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
 SYMBOLS = re.compile(r"[#*$%&|<>]")
@@ -149,21 +149,22 @@ def plan_cascade(df: DataFrame, id_col: str, text_col: str, rules: Sequence[Rule
 def apply_cascade(df: DataFrame, id_col: str, text_col: str, order: Sequence[str] | None = None, rules: Sequence[Rule] = RULES,
                   measures: Sequence[str] = (), carry: Sequence[str] = ()) -> DataFrame:
     """``key``, the asked ``measures`` (long), ``kept`` and, with ``carry``, a struct ``row`` of those columns; a row per input row."""
-    src = with_row(df, carry, key=id_col, text=text_col)
+    src = with_row(df, rest_of_row(carry, text_col), key=id_col, text=text_col)
     named = {r.name: r for r in rules}
     steps = [named[x] for x in (order or plan_cascade(df, id_col, text_col, rules))]
     if len(steps) != len(rules):
         raise ValueError("order must name every rule once")
-    schema = T.StructType([T.StructField("key", src.schema["key"].dataType), *[T.StructField(m, T.LongType()) for m in measures], T.StructField("kept", T.BooleanType()), *handed_on(src)])
+    schema = T.StructType([T.StructField("key", src.schema["key"].dataType), *[T.StructField(m, T.LongType()) for m in measures], T.StructField("kept", T.BooleanType()), *(handed := handed_text(src, carry, text_col))])
+    handed = [f.name for f in handed]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in by_bytes(whole, 1)):
             rows, kept = [], []
             for text in batch.column(1):
                 doc = Measured(text.as_py())
                 kept.append(not any(rule.rejects(doc) for rule in steps))
                 rows.append([getattr(doc, m) for m in measures])
             cols = [pa.array([r[i] for r in rows], pa.int64()) for i in range(len(measures))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *cols, pa.array(kept, pa.bool_()), *batch.columns[2:]], schema.names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *cols, pa.array(kept, pa.bool_()), *(batch.column(c) for c in handed)], schema.names)
 
-    return src.mapInArrow(run, schema)
+    return src.mapInArrow(run, schema).select("key", *measures, "kept", *row_of(carry, text_col))
