@@ -27,7 +27,7 @@ def run_option(panel: DataFrame, features, target: str, design: str = "temporal"
     expanding-window CV on rows ordered (period, entity).
     Returns (predictions DF, scores DF (Model, CV_RMSE, Time_s, params),
     metrics DF)."""
-    grids = grids or rg.SMALL_GRIDS
+    grids = grids or rg.PARAM_GRIDS
     features = list(features)
     data = panel.filter(F.col(target).isNotNull())
     if design == "geographical":

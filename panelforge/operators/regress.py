@@ -48,10 +48,11 @@ PARAM_GRIDS = {
                  "l2_leaf_reg": [3, 7, 15]},
 }
 
-# Reduced grids (one or two cells per model) for tests and quick runs.
+# For tests and quick runs: the whole grids of the linear models (one pass over the
+# rows), one cell of each of the others.
 SMALL_GRIDS = {
-    "Ridge": {"alpha": [1, 10]},
-    "Lasso": {"alpha": [0.1, 10]},
+    "Ridge": PARAM_GRIDS["Ridge"],
+    "Lasso": PARAM_GRIDS["Lasso"],
     "SVR": {"C": [10], "epsilon": [0.1], "kernel": ["linear"]},
     "Random Forest": {"n_estimators": [20], "max_depth": [5], "min_samples_split": [2],
                       "max_features": ["sqrt"]},

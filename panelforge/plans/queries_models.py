@@ -167,7 +167,7 @@ def q_model_comparison(spark, d):
 # -------------------------------------------------------------- R-class fits
 def _one_model(spark, d, name, design="temporal"):
     p = panels.nation_year_panel(spark, d)
-    _, scores, metrics = run_option(p, FEATS, "target", design, models=(name,))
+    _, scores, metrics = run_option(p, FEATS, "target", design, models=(name,), grids=rg.SMALL_GRIDS)
     return rnd(metrics.join(scores.select("Model", "CV_RMSE"), "Model"))
 
 
