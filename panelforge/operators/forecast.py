@@ -212,6 +212,31 @@ def forecast_arimax(model: DataFrame, future: DataFrame, entity: str, period: st
     return written(linear_recurrence(rows, entity, "_rn", "_x", "_a", "_l", out, keep=[period]), "arimax-forecasts")
 
 
+MODEL_FORMAT = 1
+
+
+def save_forecast_models(model: DataFrame, path: str) -> None:
+    """SNK4: the per-entity models of :func:`fit_arimax` (coefficients and end state,
+    one row per entity) as a versioned Parquet table; an existing one is replaced."""
+    model.withColumn("_format", F.lit(MODEL_FORMAT)).write.mode("overwrite").parquet(path)
+
+
+def load_forecast_models(spark, path: str) -> DataFrame:
+    """SNK4: inverse of :func:`save_forecast_models`; a missing path or another format raises."""
+    model = spark.read.parquet(path)
+    other = model.filter(F.col("_format") != MODEL_FORMAT).select("_format").first() if "_format" in model.columns else (None,)
+    if other:
+        raise ValueError(f"{path} holds forecast models of format {other[0]}, not {MODEL_FORMAT}")
+    return model.drop("_format")
+
+
+def periods_after(panel: DataFrame, entity: str, period: str, n: int) -> DataFrame:
+    """(entity, period) of the ``n`` whole-number periods after each entity's last one."""
+    kind = panel.schema[period].dataType
+    last = panel.groupBy(entity).agg(F.max(period).alias("_last"))
+    return last.select(entity, F.explode(F.sequence(F.lit(1), F.lit(n))).alias("_i"), "_last").select(entity, (F.col("_last") + F.col("_i")).cast(kind).alias(period))
+
+
 def evaluate_forecasts(model: DataFrame, fc: DataFrame, future: DataFrame, entity: str, period: str,
                        target: str, split_col: str = "Split", dp: int = 4):
     """ML24: pooled metrics per split over converged entities, and the

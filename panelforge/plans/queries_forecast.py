@@ -12,6 +12,7 @@ from panelforge.operators import timeorder as tw
 from panelforge.plans import panels
 from panelforge.plans.registry import query, rnd
 from panelforge.plans.sql_panels import P1_CTE, P4_CTE, with_
+from panelforge.session import scratch_path
 
 EXOG = ["n_orders", "urgent_share", "qty_mean"]
 
@@ -27,17 +28,20 @@ def _train_future(spark, d):
     return p.filter(F.col("Split").isNull()), p.filter(F.col("Split").isNotNull())
 
 
-@query("ar1_diff_ls", with_(P1_CTE, P4_CTE) + """
+_AR1_SQL = with_(P1_CTE, P4_CTE) + """
 , tr AS (SELECT Code, Period, target, row_number() OVER (PARTITION BY Code ORDER BY Period) AS rn FROM p4s WHERE split = 'train'),
 dd AS (SELECT a.Code, a.rn, a.target - b.target AS dy FROM tr a JOIN tr b ON a.Code = b.Code AND a.rn = b.rn + 1),
 ll AS (SELECT a.Code, a.rn, a.dy, b.dy AS dy1 FROM dd a JOIN dd b ON a.Code = b.Code AND a.rn = b.rn + 1),
 phi AS (SELECT Code, sum(dy * dy1) / sum(dy1 * dy1) AS phi, count(*) AS n FROM ll GROUP BY Code),
 st AS (SELECT Code, arg_max(target, rn) AS lvl, max(rn) AS last FROM tr GROUP BY Code),
 sd AS (SELECT dd.Code, dd.dy AS last_dy FROM dd JOIN st ON dd.Code = st.Code AND dd.rn = st.last),
-fut AS (SELECT Code, Period, row_number() OVER (PARTITION BY Code ORDER BY Period) AS h FROM p4s WHERE split <> 'train')
+fut AS (SELECT Code, Period, row_number() OVER (PARTITION BY Code ORDER BY Period) AS h FROM (__FUTURE__))
 SELECT fut.Code, fut.Period,
        round(st.lvl + sd.last_dy * CASE WHEN phi.phi = 1 THEN fut.h ELSE phi.phi * (1 - power(phi.phi, fut.h)) / (1 - phi.phi) END, 2) AS predicted
-FROM fut JOIN phi USING (Code) JOIN st USING (Code) JOIN sd USING (Code) WHERE phi.n >= 2""")
+FROM fut JOIN phi USING (Code) JOIN st USING (Code) JOIN sd USING (Code) WHERE phi.n >= 2"""
+
+
+@query("ar1_diff_ls", _AR1_SQL.replace("__FUTURE__", "SELECT Code, Period FROM p4s WHERE split <> 'train'"))
 def q_ar1(spark, d):
     """ML22/23 (closed form checkable): ARIMA(1,1,0) by least squares per
     entity, recursive forecast through every future period."""
@@ -47,6 +51,22 @@ def q_ar1(spark, d):
     return f.select("Code", "Period", F.round("predicted", 2).alias("predicted"))
 
 
+HORIZON = 12
+
+
+@query("forecast_beyond_labels", _AR1_SQL.replace("__FUTURE__", f"""SELECT Code, Period FROM p4s WHERE split <> 'train'
+UNION ALL SELECT Code, last + i FROM (SELECT Code, max(Period) AS last FROM p4s GROUP BY Code), range(1, {HORIZON + 1}) k(i)"""))
+def q_beyond(spark, d):
+    """SNK4 + ML29: per-entity models saved, loaded back and run through the labelled
+    periods and the year after the last of them."""
+    tr, fu = _train_future(spark, d)
+    path = scratch_path(spark, "forecast-models")
+    fc.save_forecast_models(fc.fit_arimax(tr, "Code", "Period", "target", (), (1, 1, 0)), path)
+    ahead = fu.select("Code", "Period").unionByName(fc.periods_after(_p4(spark, d), "Code", "Period", HORIZON))
+    f = fc.forecast_arimax(fc.load_forecast_models(spark, path), ahead, "Code", "Period")
+    return f.select("Code", "Period", F.round("predicted", 2).alias("predicted"))
+
+
 @query("trend_zero_cp", with_(P1_CTE, P4_CTE) + """
 , rg AS (SELECT Code, min(Period) AS t0, max(Period) AS t1 FROM p4s WHERE split = 'train' GROUP BY Code),
 tr AS (SELECT p4s.Code, (Period - t0) / greatest(t1 - t0, 1) AS t, target FROM p4s JOIN rg USING (Code) WHERE split = 'train'),

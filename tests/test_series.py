@@ -128,6 +128,20 @@ def test_unknown_entity_raises(spark):
     assert [r["e"] for r in fc.forecast_arimax(model, future, "e", "t", strict=False).collect()] == ["a"]
 
 
+def test_models_saved_and_loaded(spark, tmp_path):
+    df = spark.createDataFrame([(e, t, float((t * 7) % 11 + t)) for e in "ab" for t in range(40)], "e string, t int, y double")
+    model = fc.fit_arimax(df, "e", "t", "y", (), (1, 1, 1))
+    path = str(tmp_path / "models")
+    fc.save_forecast_models(model, path)
+    ahead = fc.periods_after(df, "e", "t", 3)
+    assert sorted(map(tuple, ahead.collect())) == [(e, t) for e in "ab" for t in (40, 41, 42)]
+    want, got = (sorted(map(tuple, fc.forecast_arimax(m, ahead, "e", "t").collect())) for m in (model, fc.load_forecast_models(spark, path)))
+    assert want == got and len(got) == 6
+    model.withColumn("_format", F.lit(0)).write.parquet(path + "-old")
+    with pytest.raises(ValueError, match="format 0"):
+        fc.load_forecast_models(spark, path + "-old")
+
+
 def test_invertible_keeps_autocorrelations():
     for theta in ([2.0], [0.5], [-3.0, 0.4], [0.3, 0.2]):
         new = fc.invertible(np.array(theta))
