@@ -27,6 +27,7 @@ import time
 
 import numpy as np
 from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.linalg import DenseVector
 from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -84,6 +85,14 @@ class LinearExprModel:
     def __init__(self, features, w, b, rff=None):
         self.features, self.w, self.b, self.rff = list(features), np.asarray(w), float(b), rff
 
+    @property
+    def coefficients(self) -> DenseVector:
+        return DenseVector(self.w)
+
+    @property
+    def intercept(self) -> float:
+        return self.b
+
     def _inputs(self) -> list:
         xs = [F.col(c).cast("double") for c in self.features]
         if self.rff is None:
