@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -56,9 +56,28 @@ def save_table(df: DataFrame, path: str, mode: str = "overwrite") -> str:
     return path
 
 
+def _reason(schema, required) -> Column:
+    """Why a row of text columns is malformed; NULL if it is not."""
+    why = []
+    for f in schema.fields:
+        c = F.col(f"`{f.name}`")
+        why.append(F.when(c.isNotNull() & c.try_cast(f.dataType).isNull(), F.lit(f"{f.name} is not a {f.dataType.simpleString()}")))
+        if f.name in required:
+            why.append(F.when(c.isNull(), F.lit(f"{f.name} is empty")))
+    return F.nullif(F.concat_ws("; ", *why), F.lit(""))
+
+
+def malformed_rows(text: DataFrame, schema, required=()) -> DataFrame:
+    """(file, line, reason) of the rows of a scan of text columns that do not fit
+    ``schema``; ``line`` has the row's fields as JSON."""
+    line = F.to_json(F.struct(*[F.col(f"`{c}`") for c in text.columns]))
+    found = text.select(F.col("_metadata.file_path").alias("file"), line.alias("line"), _reason(schema, required).alias("reason"))
+    return found.filter("reason IS NOT NULL")
+
+
 def scan_csv_long(spark: SparkSession, path: str, name_dim: DataFrame,
                   min_year: int = 2000, drop_categories=("All causes",),
-                  categories=None, schema=LONG_CSV_SCHEMA) -> DataFrame:
+                  categories=None, schema=LONG_CSV_SCHEMA, rejects: str | None = None) -> DataFrame:
     """SRC1 + JN13 + RSH1 + FLT1 + PRJ3: long CSV -> wide panel.
 
     ``name_dim`` (name, Code) replaces the per-row country-name library:
@@ -66,13 +85,23 @@ def scan_csv_long(spark: SparkSession, path: str, name_dim: DataFrame,
     unknown name keeps its rows with a NULL Code.  The pivot raises on a
     duplicate (name, Code, year, category) key.  ``drop_categories`` are
     removed strictly (error if absent), as in the source.
+
+    A malformed row, one with a field that is not of its type or without a
+    year, is an error that names some of them; with ``rejects`` such rows go to
+    that Parquet table instead (:func:`malformed_rows`) and the others are read.
     """
     # columns are taken by name: an export may have more of them, in any order
     text = spark.read.option("header", True).csv(path)
     absent = [f.name for f in schema.fields if f.name not in text.columns]
     if absent:
         raise KeyError(f"columns {absent} not found in {path}")
-    raw = text.select(*[F.col(f"`{f.name}`").try_cast(f.dataType).alias(f.name) for f in schema.fields])
+    bad = malformed_rows(text, schema, ["year"])
+    if rejects is not None:
+        bad.write.mode("overwrite").parquet(rejects)
+    elif some := bad.limit(5).collect():
+        raise ValueError(f"{bad.count()} malformed rows in {path}, among them " + "; ".join(f"{r['reason']}: {r['line']}" for r in some))
+    raw = text.filter(_reason(schema, ["year"]).isNull())
+    raw = raw.select(*[F.col(f"`{f.name}`").try_cast(f.dataType).alias(f.name) for f in schema.fields])
     raw = raw.filter(F.col("year") >= F.lit(min_year))
     dim = name_dim.select(F.lower(F.trim(F.col("name"))).alias("_k"),
                           F.col("Code"))

@@ -86,3 +86,19 @@ def test_save_and_load_by_extension(spark):
     assert back.collect() == df.collect()
     back = files.load_table(spark, files.save_table(df, base + "/t.csv"), csv_schema=df.schema)
     assert back.collect() == df.collect()
+
+
+def test_malformed_rows_raise_or_are_kept_apart(spark, tmp_path):
+    path = str(tmp_path / "export.csv")
+    lines = ["location_name,year,cause_name,val,extra", "Aland,2001,All causes,1.5,x", "Aland,2001,b,2.5,x", "Aland,20O2,b,3,x", "Aland,2003,b,n/a,x", "Aland,,b,4,x", "Aland,2004,b,,x",
+             "Aland,2004,All causes,1,x"]
+    with open(path, "w") as f:
+        f.write("\n".join(lines) + "\n")
+    dim = spark.createDataFrame([("Aland", "AL")], "name string, Code string")
+    with pytest.raises(ValueError, match="3 malformed rows"):
+        files.scan_csv_long(spark, path, dim)
+    kept = files.scan_csv_long(spark, path, dim, rejects=str(tmp_path / "rejects"))
+    assert sorted((r["Year"], r["b"]) for r in kept.collect()) == [(2001, 2.5), (2004, None)]
+    rejects = spark.read.parquet(str(tmp_path / "rejects")).collect()
+    assert sorted(r["reason"] for r in rejects) == ["val is not a double", "year is empty", "year is not a int"]
+    assert all(r["file"].endswith("export.csv") for r in rejects) and any('"20O2"' in r["line"] for r in rejects)
