@@ -161,9 +161,10 @@ def fit_arimax(train: DataFrame, entity: str, period: str, target: str, exog=(),
     last = frame.groupBy(F.col(entity).alias("_le")).agg(
         F.max_by(target, "_rn").alias("last_level"), F.max_by(period, "_rn").alias("last_period"),
         F.max_by(_numbers(["_dy", *ar_cols[:max(p, 1) - 1]]), "_rn").alias("last_dy"), F.max_by(_numbers(exog), "_rn").alias("last_exog"))
-    model = written(coef.join(last, coef[entity].eqNullSafe(last["_le"])).drop("_le"), "arimax-coefficients")
+    model = coef.join(last, coef[entity].eqNullSafe(last["_le"])).drop("_le")
     none = F.array_repeat(F.lit(0.0), max(q, 1))
     if q > 0:
+        model = written(model, "arimax-coefficients")
         fitted = model.filter("converged").select(F.col(entity).alias("_me"), "phi", "theta", "beta")
         rows = frame.join(fitted, frame[entity].eqNullSafe(fitted["_me"])).drop("_me")
         rows = rows.withColumns({"_x": F.col("_dy") - _dot("phi", ar_cols[:p]) - _dot("beta", dxs), "_a": F.transform("theta", lambda t: -t), "_0": none})
