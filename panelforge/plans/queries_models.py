@@ -231,7 +231,7 @@ def q_option_run(spark, d):
     """ML10: the entity-split design with all six model families (reduced
     grids); metrics per (model, split) with CV RMSE and time."""
     p = panels.nation_year_panel(spark, d)
-    _, scores, metrics = run_option(p, FEATS, "target", "geographical")
+    _, scores, metrics = run_option(p, FEATS, "target", "geographical", grids=rg.SMALL_GRIDS)
     return rnd(metrics.join(scores.select("Model", "CV_RMSE"), "Model"))
 
 
