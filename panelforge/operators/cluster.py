@@ -4,20 +4,19 @@ Distances to k centres are column expressions over fitted centres (k x d
 numbers on the driver, like any model's parameters); nothing forms pairs
 of rows.  Silhouette is the squared-Euclidean silhouette (the definition
 of Spark's ``ClusteringEvaluator``), which decomposes into per-cluster
-sums — exact for that distance, linear in the rows.  Ward linkage runs on
-a bounded set of points (entity profiles) and refuses silently
-approximating beyond the bound.
+sums — exact for that distance, linear in the rows.
 """
 
 from __future__ import annotations
 
 import numpy as np
-from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from panelforge.operators import lloyd
+
 
 # ------------------------------------------------------------------ helpers
 def as_array(df: DataFrame, features, out: str = "_x") -> DataFrame:
@@ -100,164 +99,53 @@ def inertia(df: DataFrame, x: str, label: str) -> DataFrame:
 
 
 # ------------------------------------------------------------------- k-means
-def _kmeans_models(data: DataFrame, ks, seed: int, n_init: int, max_iter: int,
-                   parallelism: int) -> dict:
-    """Fit every (k, restart) concurrently; keep the lowest cost per k
-    (ties -> lowest seed).  ``data`` carries the vector column ``_v``."""
-    from concurrent.futures import ThreadPoolExecutor
-
-    def fit(job):
-        k, i = job
-        m = KMeans(featuresCol="_v", predictionCol="_p", k=k, seed=seed + i,
-                   maxIter=max_iter, tol=1e-6).fit(data)
-        return k, i, m, m.summary.trainingCost
-
-    jobs = [(k, i) for k in ks for i in range(n_init)]
-    with ThreadPoolExecutor(max_workers=max(1, min(parallelism, len(jobs)))) as ex:
-        fits = list(ex.map(fit, jobs))
-    best = {}
-    for k, i, m, cost in fits:
-        if k not in best or (round(cost, 9), i) < (round(best[k][1], 9), best[k][2]):
-            best[k] = (m, cost, i)
-    return {k: (m, c) for k, (m, c, _) in best.items()}
-
-
-def _relabel(model, data: DataFrame, key: str | None):
-    pred = model.transform(data).drop("_v")
-    centers = [np.array(c, dtype=float) for c in model.clusterCenters()]
+def kmeans_fit(df: DataFrame, x: str, k: int, seed: int = 42, n_init: int = 10,
+               key: str | None = None, max_iter: int = 300):
+    """ML15: k-means, ``n_init`` restarts moved together (``operators/lloyd.py``);
+    the lowest cost wins.  Labels are renumbered by the smallest ``key`` in
+    each cluster so they are stable; a row with a NULL vector has a NULL label.
+    Returns (DataFrame with ``cluster``, centres in label order, cost); without
+    any vector all labels are NULL, there are no centres and the cost is 0."""
+    data = lloyd.vectors(df, x, key).persist()
+    try:
+        found = lloyd.best_models(data, [k], seed, n_init, max_iter)
+    finally:
+        data.unpersist()
+    if not found:
+        return df.withColumn("cluster", F.lit(None).cast("int")), [], 0.0
+    centres, sums = found[k]
+    pred = assign_nearest(df, x, centres, "_p")
+    order = list(range(len(centres)))
     if key is not None:
-        mins = {r["_p"]: r["m"] for r in pred.groupBy("_p").agg(F.min(key).alias("m")).collect()}
+        mins = {r["_p"]: r["m"] for r in pred.filter("_p is not null").groupBy("_p").agg(F.min(key).alias("m")).collect()}
         order = sorted(mins, key=lambda p: mins[p])
-    else:
-        order = list(range(len(centers)))
-    relabel = {p: i for i, p in enumerate(order)}
-    mp = F.create_map(*[v for p, i in relabel.items() for v in (F.lit(p), F.lit(i))])
-    out = pred.withColumn("cluster", mp[F.col("_p")].cast("int")).drop("_p")
-    return out, [centers[p] for p in order]
-
-
-def kmeans_fit(df: DataFrame, x: str, k: int, seed: int = 42, n_init: int = 10,
-               key: str | None = None, max_iter: int = 300, parallelism: int = 8):
-    """ML15: pyspark.ml KMeans (k-means||) restarted ``n_init`` times with
-    consecutive seeds; the lowest training cost wins.  Restarts are
-    submitted concurrently (``parallelism`` threads, as CrossValidator
-    does).  Labels are renumbered by the smallest ``key`` in each cluster
-    so they are stable.  Returns (DataFrame with ``cluster``, centres in
-    label order, cost)."""
-    data = df.withColumn("_v", array_to_vector(F.col(x))).cache()
-    model, cost = _kmeans_models(data, [k], seed, n_init, max_iter, parallelism)[k]
-    out, centers = _relabel(model, data, key)
-    return out, centers, float(cost)
+    relabel = F.create_map(*[v for i, p in enumerate(order) for v in (F.lit(p), F.lit(i))])
+    return (pred.withColumn("cluster", relabel[F.col("_p")].cast("int")).drop("_p"),
+            [centres[p] for p in order], float(sums.cost.sum()))
 
 
 def kmeans_sweep(df: DataFrame, x: str, ks=range(2, 9), seed: int = 42, n_init: int = 10,
-                 key: str | None = None, max_iter: int = 300, parallelism: int = 8) -> DataFrame:
-    """ML16: (k, inertia, silhouette) for each k; all (k, restart) fits in
-    one concurrent batch."""
-    dim = df.select(F.size(x).alias("d")).first()["d"]
-    data = df.withColumn("_v", array_to_vector(F.col(x))).cache()
-    models = _kmeans_models(data, list(ks), seed, n_init, max_iter, parallelism)
-    rows = []
-    for k in ks:
-        model, cost = models[k]
-        lab, _ = _relabel(model, data, key)
-        sil = silhouette_sq(lab, x, "cluster", dim).first()["silhouette"]
-        rows.append((int(k), float(cost), None if sil is None else float(sil)))
-    data.unpersist()
+                 key: str | None = None, max_iter: int = 300) -> DataFrame:
+    """ML16: (k, inertia, silhouette) for each k; all (k, restart) models move in
+    one pass per iteration, and one pass gives the silhouettes of all k."""
+    data = lloyd.vectors(df, x, key).persist()
+    try:
+        models = lloyd.best_models(data, list(ks), seed, n_init, max_iter)
+        scores = lloyd.silhouettes(data, list(models.values())) if models else []
+    finally:
+        data.unpersist()
+    rows = [(int(k), float(sums.cost.sum()), None if sil is None else float(sil))
+            for (k, (_, sums)), sil in zip(models.items(), scores)]
     return df.sparkSession.createDataFrame(rows, "k int, inertia double, silhouette double")
 
 
-# ---------------------------------------------------------------------- Ward
-MAX_WARD_POINTS = 2000
-
-
-def ward_linkage(points: np.ndarray, weights: np.ndarray | None = None):
-    """Agglomerative Ward on (weighted) points, Lance-Williams updates.
-    Returns merges as (left, right, height, size) with scipy's id
-    convention (new cluster = n + step) and height = √(2·n_a n_b/(n_a+n_b))·|c_a-c_b|."""
-    n = len(points)
-    w = np.ones(n) if weights is None else np.asarray(weights, dtype=float)
-    diff = points[:, None, :] - points[None, :, :]
-    d2 = (diff ** 2).sum(-1) * (2 * w[:, None] * w[None, :] / (w[:, None] + w[None, :]))
-    np.fill_diagonal(d2, np.inf)
-    ids = list(range(n))
-    size = w.copy()
-    active = np.ones(n, dtype=bool)
-    merges = []
-    for step in range(n - 1):
-        m = np.where(active[:, None] & active[None, :], d2, np.inf)
-        i, j = divmod(int(np.argmin(m)), n)
-        if i > j:
-            i, j = j, i
-        h = float(np.sqrt(max(m[i, j], 0.0)))
-        ni, nj = size[i], size[j]
-        nk = size
-        new = ((ni + nk) * d2[i] + (nj + nk) * d2[j] - nk * d2[i, j]) / (ni + nj + nk)
-        merges.append((ids[i], ids[j], h, float(ni + nj)))
-        d2[i, :] = new
-        d2[:, i] = new
-        d2[i, i] = np.inf
-        active[j] = False
-        d2[j, :] = np.inf
-        d2[:, j] = np.inf
-        size[i] = ni + nj
-        ids[i] = n + step
-    return merges
-
-
-def ward_cut(n: int, merges, k: int) -> np.ndarray:
-    """Cluster of each point after the first n - k merges (maxclust)."""
-    parent = list(range(2 * n))
-
-    def find(a):
-        while parent[a] != a:
-            parent[a] = parent[parent[a]]
-            a = parent[a]
-        return a
-
-    for step, (l, r, _, _) in enumerate(merges[: n - k]):
-        parent[find(l)] = n + step
-        parent[find(r)] = n + step
-    roots = [find(i) for i in range(n)]
-    first_seen = {}
-    for i, r in enumerate(roots):
-        first_seen.setdefault(r, len(first_seen) + 1)
-    return np.array([first_seen[r] for r in roots])
-
-
-def ward_hierarchical(df: DataFrame, x: str, key: str, k: int,
-                      max_points: int = MAX_WARD_POINTS):
-    """ML19: Ward linkage of the rows of ``df`` (entity profiles) cut at
-    ``k`` clusters (labels 1..k numbered by the smallest key).  The rows
-    are a bounded summary (one per entity); beyond ``max_points`` this
-    raises instead of approximating.  Returns (labels DF, merges DF)."""
-    spark = df.sparkSession
-    n = df.count()
-    if n > max_points:
-        raise ValueError(f"ward_hierarchical: {n} points > max_points={max_points}; "
-                         "cluster with kmeans_fit or raise the bound")
-    rows = df.select(key, x).orderBy(key).collect()
-    keys = [r[0] for r in rows]
-    pts = np.array([r[1] for r in rows], dtype=float)
-    merges = ward_linkage(pts)
-    labels = ward_cut(len(keys), merges, k)
-    ktype = df.schema[key].dataType.simpleString()
-    lab = spark.createDataFrame([(kk, int(c)) for kk, c in zip(keys, labels)],
-                                f"{key} {ktype}, cluster int")
-    mdf = spark.createDataFrame([(i, int(a), int(b), h, s) for i, (a, b, h, s) in enumerate(merges)],
-                                "step int, left int, right int, height double, size double")
-    return lab, mdf
-
-
-def dendrogram_table(merges: DataFrame, k: int) -> DataFrame:
-    """ML20: merges with the cut threshold — the height of the last merge
-    kept when cutting at k clusters — and a ``kept`` flag."""
-    n_merges = merges.count()
-    thr_row = (merges.orderBy("height", "step").select("height")
-               .limit(max(n_merges - (k - 1), 0)).agg(F.max("height").alias("t")).first())
-    thr = thr_row["t"] if thr_row else None
-    return merges.withColumns({"cut_height": F.lit(thr),
-                               "kept": F.col("step") < F.lit(n_merges - (k - 1))})
+def kmeans_moves(df: DataFrame, x: str, models) -> DataFrame:
+    """One batched move of several models, given as lists of centres: long
+    (model, cluster, n, dim, value) of the centres after it; empty clusters left out."""
+    models = [np.asarray(c, dtype=float) for c in models]
+    rows = [(m, j, int(t.n[j]), i, float(v)) for m, (c, t) in enumerate(zip(models, lloyd.sums_by_cluster(lloyd.vectors(df, x, None), models)))
+            for j in np.flatnonzero(t.n).tolist() for i, v in enumerate(lloyd.move(t, c)[j])]
+    return df.sparkSession.createDataFrame(rows, "model int, cluster int, n long, dim int, value double")
 
 
 # ----------------------------------------------------------------------- PCA

@@ -84,6 +84,21 @@ def q_kmeans_step(spark, d):
     return a.select("vec_id", "label", "cluster")
 
 
+@query("kmeans_moves", R("WITH " + EMB_SQL + """,
+near AS (SELECT 0 AS model, vec_id, arg_min(cl, dd) AS cl FROM dist GROUP BY 1, 2
+         UNION ALL SELECT 1, vec_id, arg_min(cl, dd) FROM dist WHERE cl IN (SELECT label FROM e GROUP BY label ORDER BY label LIMIT 4) GROUP BY 1, 2),
+num AS (SELECT cl, row_number() OVER (ORDER BY cl) - 1 AS cluster FROM cn)
+SELECT near.model, CAST(num.cluster AS INT) AS cluster, count(*) AS n, CAST(u.d - 1 AS INT) AS dim, avg(u.x) AS value
+FROM near JOIN num USING (cl) JOIN u USING (vec_id) GROUP BY 1, 2, 4""", ["value"]))
+def q_kmeans_moves(spark, d):
+    """ML15, ML16 (SQL-checkable step): centres after one batched move of two models,
+    which start from the means of all labels and of the four lowest."""
+    e, dim = _emb(spark, d)
+    cents = cl.centroids(e, "_x", "label", dim)
+    keys = sorted(cents)
+    return rnd(cl.kmeans_moves(e, "_x", [[cents[k] for k in keys], [cents[k] for k in keys[:4]]]))
+
+
 ARI_SQL = """
 , ct AS (SELECT label AS t, cluster AS p, CAST(count(*) AS DOUBLE) AS n FROM lab GROUP BY 1, 2),
 ca AS (SELECT t, sum(n) AS a FROM ct GROUP BY t), cb AS (SELECT p, sum(n) AS b FROM ct GROUP BY p),

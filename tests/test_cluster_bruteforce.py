@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 
 from panelforge.operators import cluster as cl
+from panelforge.operators import lloyd
 from panelforge.operators import stats
 
 
@@ -49,23 +50,78 @@ def test_pca_matches_svd(spark):
         assert got == pytest.approx(ref.tolist(), abs=1e-9)
 
 
-def test_ward_heights_match_naive_recompute():
-    rng = np.random.default_rng(10)
-    pts = rng.normal(size=(9, 2))
-    merges = cl.ward_linkage(pts)
-    clusters = {i: [i] for i in range(9)}
-    nxt = 9
-    for left, right, h, size in merges:
-        # naive: the cheapest Ward merge among the current clusters
-        best = min(itertools.combinations(sorted(clusters), 2),
-                   key=lambda p: _ward(pts, clusters[p[0]], clusters[p[1]]))
-        assert {left, right} == set(best)
-        assert h == pytest.approx(math.sqrt(2 * _ward(pts, clusters[left], clusters[right])))
-        clusters[nxt] = clusters.pop(left) + clusters.pop(right)
-        assert size == len(clusters[nxt])
-        nxt += 1
-
-
-def _ward(pts, a, b):
-    ca, cb = pts[a].mean(0), pts[b].mean(0)
-    return len(a) * len(b) / (len(a) + len(b)) * ((ca - cb) ** 2).sum()
+def test_lloyd_moves_all_models_like_a_loop(spark):
+    rng = np.random.default_rng(11)
+    x = np.concatenate([rng.normal(c, 0.6, size=(40, 3)) for c in (-4, 0, 3, 9)])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(999, None)], "id int, v array<double>").repartition(5)
+    data = lloyd.vectors(df, "v", "id")
+    assert data.count() == len(x)
+    starts = [x[:k] for k in (1, 2, 4, 6)]
+    passes = []
+    got = lloyd.lloyd(data, starts, on_pass=passes.append)
+    need = []
+    for start, (centres, sums) in zip(starts, got):
+        c = start.copy()
+        for step in itertools.count(1):
+            own = ((x[:, None] - c) ** 2).sum(-1).argmin(1)
+            after = np.array([x[own == j].mean(0) if (own == j).any() else c[j] for j in range(len(c))])
+            if ((after - c) ** 2).sum(1).max() <= 1e-12:
+                break
+            c = after
+        need.append(step)
+        assert centres == pytest.approx(c, abs=1e-9)
+        assert sums.n.tolist() == np.bincount(own, minlength=len(c)).tolist()
+        assert sums.cost.sum() == pytest.approx(((x - c[own]) ** 2).sum())
+    # a converged model leaves: a pass moves those that still need it
+    assert passes == [sum(n > t for n in need) for t in range(max(need))]
+    for (centres, _), sil in zip(got, lloyd.silhouettes(data, got)):
+        own = ((x[:, None] - centres) ** 2).sum(-1).argmin(1)
+        d = ((x[:, None] - x) ** 2).sum(-1)
+        if len(centres) == 1:
+            assert sil is None
+            continue
+        each = []
+        for i, o in enumerate(own):
+            a = d[i, own == o].sum() / max(1, (own == o).sum() - 1)
+            b = min(d[i, own == j].mean() for j in set(own.tolist()) - {o})
+            each.append((b - a) / max(a, b) if (own == o).sum() > 1 else 0.0)
+        assert sil == pytest.approx(np.mean(each))
+
+
+def test_lloyd_cap_on_moves_keeps_the_given_number(spark):
+    x = np.random.default_rng(12).normal(size=(80, 2))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id int, v array<double>")
+    (centres, sums), = lloyd.lloyd(lloyd.vectors(df, "v", "id"), [x[:5]], max_iter=2)
+    c = x[:5]
+    for _ in range(2):
+        own = ((x[:, None] - c) ** 2).sum(-1).argmin(1)
+        c = np.array([x[own == j].mean(0) for j in range(5)])
+    assert centres == pytest.approx(c) and sums.n.sum() == 80
+
+
+def test_seeds_are_rows_drawn_by_distance(spark):
+    # three far groups: the second and third centre come from groups not yet drawn
+    rng = np.random.default_rng(13)
+    x = np.concatenate([rng.normal(c, 0.01, size=(30, 2)) for c in (0, 100, 10000)])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id int, v array<double>")
+    data = lloyd.vectors(df, "v", "id")
+    seeds = lloyd.seed_centres(data, 3, range(12))
+    for s in seeds:
+        assert all((s[j] == x).all(1).any() for j in range(3))
+        assert sorted(np.abs(s[:, :1] - [0, 100, 10000]).argmin(1).tolist()) == [0, 1, 2]
+    assert len({tuple(s[0]) for s in seeds}) > 6
+    again = lloyd.seed_centres(data.repartition(7), 3, range(12))
+    assert all((a == b).all() for a, b in zip(seeds, again))
+
+
+def test_kmeans_edge_cases(spark):
+    schema = "id int, v array<double>"
+    few = spark.createDataFrame([(1, [0.0]), (2, [0.0]), (3, [5.0]), (4, None)], schema)
+    lab, centres, cost = cl.kmeans_fit(few, "v", 4, n_init=2, key="id")
+    assert {r["id"]: r["cluster"] for r in lab.collect()} == {1: 0, 2: 0, 3: 1, 4: None}
+    assert sorted(c[0] for c in centres) == [0.0, 5.0] and cost == 0.0
+    empty = few.limit(0)
+    assert cl.kmeans_fit(empty, "v", 2, key="id")[1] == [] and cl.kmeans_sweep(empty, "v", [2, 3]).isEmpty()
+    sweep = {r["k"]: r for r in cl.kmeans_sweep(few, "v", [1, 2, 3], n_init=2, key="id").collect()}
+    assert sweep[1]["silhouette"] is None and sweep[2]["inertia"] == 0.0
+    assert sweep[2]["silhouette"] == pytest.approx(2 / 3) == sweep[3]["silhouette"]

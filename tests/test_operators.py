@@ -205,22 +205,6 @@ def test_silhouette_and_inertia_vs_brute_force(spark):
     assert cl.inertia(df, "v", "c").first()[0] == pytest.approx(sse)
 
 
-def test_ward_heights_monotone_and_cut(spark):
-    rng = np.random.default_rng(0)
-    pts = np.vstack([rng.normal(size=(5, 2)), rng.normal(size=(5, 2)) + 10])
-    merges = cl.ward_linkage(pts)
-    h = [m[2] for m in merges]
-    assert all(b >= a - 1e-12 for a, b in zip(h, h[1:]))
-    lab = cl.ward_cut(10, merges, 2)
-    assert len(set(lab[:5])) == 1 and len(set(lab[5:])) == 1 and lab[0] != lab[5]
-
-
-def test_ward_refuses_beyond_bound(spark):
-    df = spark.createDataFrame([(i, [float(i)]) for i in range(5)], "k int, v array<double>")
-    with pytest.raises(ValueError):
-        cl.ward_hierarchical(df, "v", "k", 2, max_points=3)
-
-
 def test_vif_at_least_one(spark):
     rng = np.random.default_rng(1)
     a = rng.normal(size=200)
