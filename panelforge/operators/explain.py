@@ -9,11 +9,16 @@ cross join), each sample expands to p + 1 hybrid rows (the first k
 features of the order taken from x, the rest from the background row),
 the model scores all hybrids in ONE ``transform``, and consecutive
 differences along the order are the marginal contributions.  Per sample
-they telescope exactly to f(x) − f(z).
+they telescope exactly to f(x) − f(z).  Symmetric trees have an exact form
+(``shap_symmetric``): a row's values depend on its leaves only.
 """
 
 from __future__ import annotations
 
+from itertools import combinations
+from math import factorial
+
+import numpy as np
 from pyspark.sql import DataFrame, Window as W
 from pyspark.sql import functions as F
 
@@ -77,6 +82,48 @@ def shap_permutation(fitted, x: DataFrame, row_id: str, background: DataFrame, f
             .select(row_id, F.element_at(names, F.col("_j") + 1).alias("Feature"), "phi"))
 
 
+def _leaf_tables(splits, values, counts) -> dict:
+    """Per split feature, its Shapley value in every leaf of one symmetric tree, the
+    background given by its rows per leaf.  v(A) of a leaf is the mean leaf value
+    once the bits of the features outside A are those of the background."""
+    depth, leaves = len(splits), np.arange(len(values))
+    feats = sorted({f for f, _ in splits})
+    share = counts / max(1, counts.sum())
+    mask = {f: sum(1 << (depth - 1 - d) for d, (g, _) in enumerate(splits) if g == f) for f in feats}
+    values = np.asarray(values, dtype=float)
+    v = {}
+    for r in range(len(feats) + 1):
+        for a in combinations(feats, r):
+            kept = sum(mask[f] for f in a)
+            v[a] = values[(leaves[:, None] & kept) | (leaves[None, :] & ~kept)] @ share
+    m = len(feats)
+    return {f: sum((v[tuple(sorted((*a, f)))] - v[a]) * factorial(len(a)) * factorial(m - len(a) - 1) / factorial(m)
+                   for a in v if f not in a) for f in feats}
+
+
+def shap_symmetric(model, x: DataFrame, row_id: str, background: DataFrame) -> DataFrame:
+    """ML32 for symmetric trees (``regress.ObliviousBoostModel``), exact over the whole
+    background: long (row_id, Feature, phi).  One aggregate counts the background
+    rows per (tree, leaf); from these at most trees x 2^depth numbers the values of
+    each leaf are tabled, and explaining is column expressions.  A feature without a
+    split has 0, NULL features go left as in prediction; an empty background raises."""
+    trees = F.array(*[F.struct(F.lit(i).alias("tree"), model.leaf_expr(splits).alias("leaf")) for i, (splits, _) in enumerate(model.trees)])
+    counts = [np.zeros(len(values)) for _, values in model.trees]
+    if model.trees:
+        for r in background.select(F.explode(trees).alias("t")).groupBy("t.tree", "t.leaf").count().collect():
+            counts[r["tree"]][r["leaf"]] = r["count"]
+        if not counts[0].sum():
+            raise ValueError("shap_symmetric: the background has no rows")
+    phi = {f: F.lit(0.0) for f in model.features}
+    for (splits, values), n in zip(model.trees, counts):
+        leaf = model.leaf_expr(splits) + 1
+        for f, table in _leaf_tables(splits, values, n).items():
+            phi[f] = phi[f] + F.element_at(F.array(*[F.lit(float(t)) for t in table]), leaf)
+    named = {f"_phi{i}": f for i, f in enumerate(model.features)}
+    wide = x.select(row_id, *[phi[f].alias(c) for c, f in named.items()]).withColumnsRenamed(named)
+    return wide.unpivot([row_id], model.features, "Feature", "phi")
+
+
 def mean_abs_importance(phi: DataFrame) -> DataFrame:
     """AGG21 / RPT4: mean |φ| per feature, largest first."""
     return (phi.groupBy("Feature").agg(F.avg(F.abs("phi")).alias("Mean_Abs_SHAP"))

@@ -229,14 +229,19 @@ class ObliviousBoostModel:
     def __init__(self, features, base, trees):
         self.features, self.base, self.trees = list(features), float(base), trees
 
+    @staticmethod
+    def leaf_expr(splits) -> Column:
+        """Leaf index of a row; a NULL feature goes left (0)."""
+        leaf = F.lit(0)
+        for f, thr in splits:
+            leaf = leaf * 2 + F.when(F.coalesce(F.col(f).cast("double") > F.lit(thr), F.lit(False)),
+                                     1).otherwise(0)
+        return leaf
+
     def predict_expr(self) -> Column:
         out = F.lit(self.base)
         for splits, values in self.trees:
-            leaf = F.lit(0)
-            for f, thr in splits:
-                leaf = leaf * 2 + F.when(F.coalesce(F.col(f).cast("double") > F.lit(thr), F.lit(False)),
-                                         1).otherwise(0)
-            out = out + F.element_at(F.array(*[F.lit(float(v)) for v in values]), leaf + 1)
+            out = out + F.element_at(F.array(*[F.lit(float(v)) for v in values]), self.leaf_expr(splits) + 1)
         return out
 
     def transform(self, df: DataFrame) -> DataFrame:

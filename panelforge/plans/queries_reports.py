@@ -92,6 +92,28 @@ def q_shap_tree(spark, d):
     return rnd(ex.mean_abs_importance(phi))
 
 
+@query("shap_symmetric", R(with_(P1_CTE, SPLIT_CTE) + """
+, t AS (SELECT avg(qty_mean) AS ta, avg(price_mean) AS tb FROM ps WHERE split = 'train'),
+b AS (SELECT Code, Year, split, CAST(qty_mean > ta AS INT) AS a, CAST(price_mean > tb AS INT) AS b FROM ps, t),
+g AS (SELECT a, b, CAST(count(*) AS DOUBLE) / sum(count(*)) OVER () AS w FROM b WHERE split = 'train' GROUP BY a, b),
+v AS (SELECT x.Code, x.Year, x.a + 2 * x.b + 4 * x.a * x.b AS vab, sum(g.w * (x.a + 2 * g.b + 4 * x.a * g.b)) AS va,
+             sum(g.w * (g.a + 2 * x.b + 4 * g.a * x.b)) AS vb, sum(g.w * (g.a + 2 * g.b + 4 * g.a * g.b)) AS v0
+      FROM b AS x, g GROUP BY x.Code, x.Year, x.a, x.b)
+SELECT Code, Year, 'qty_mean' AS Feature, (va - v0 + vab - vb) / 2 AS phi FROM v
+UNION ALL SELECT Code, Year, 'price_mean', (vb - v0 + vab - va) / 2 FROM v""", ["phi"]))
+def q_shap_symmetric(spark, d):
+    """ML32 (SQL-checkable): exact Shapley values of a symmetric tree with an interaction,
+    a + 2b + 4ab of two features above their train means, for all panel rows."""
+    p = spl.temporal_split(panels.nation_year_panel(spark, d), "Year")
+    train = p.filter("split = 'train'")
+    t = train.agg(F.avg("qty_mean").alias("a"), F.avg("price_mean").alias("b")).first()
+    tree = ([("qty_mean", t["a"]), ("price_mean", t["b"])], [0.0, 2.0, 1.0, 7.0])
+    model = rg.ObliviousBoostModel(["qty_mean", "price_mean"], 0.0, [tree])
+    keyed = p.withColumn("_key", F.struct("Code", "Year"))
+    phi = ex.shap_symmetric(model, keyed, "_key", train)
+    return rnd(phi.select("_key.Code", "_key.Year", "Feature", "phi"))
+
+
 # ------------------------------------------------------------------ reports
 @query("predictions_table", R(with_(P1_CTE, SPLIT_CTE) + """
 SELECT Code, Country, Year, predicted AS Predicted_Rate, Model, Region FROM pred""", ["Predicted_Rate"]))
