@@ -88,7 +88,7 @@ def q_shap_tree(spark, d):
                           train, SCALE_COLS, "target")
     assert ex.is_tree_model(fitted.model)
     explain = s.filter("split <> 'train'")
-    phi = ex.shap_permutation(fitted, explain, "row_id", train, SCALE_COLS, n_samples=32, n_background=50)
+    phi = ex.shap_permutation(fitted, explain, "row_id", train, SCALE_COLS, n_samples=50, n_background=100)
     return rnd(ex.mean_abs_importance(phi))
 
 
