@@ -1,4 +1,4 @@
-"""Exact Shapley values of symmetric trees against enumeration of all subsets."""
+"""Symmetric trees: exact Shapley values against enumeration of all subsets, the split search against a loop."""
 import itertools
 import math
 
@@ -48,3 +48,25 @@ def test_no_background_raises_and_no_rows_give_none(spark):
         ex.shap_symmetric(model, df, "id", df.limit(0))
     assert ex.shap_symmetric(model, df.limit(0), "id", df).isEmpty()
     assert {r["phi"] for r in ex.shap_symmetric(rg.ObliviousBoostModel(FEATS, 1.5, []), df, "id", df).collect()} == {0.0}
+
+
+@pytest.mark.parametrize("lam", [0.0, 3.0])
+def test_split_search_equals_a_loop(lam):
+    rng = np.random.default_rng(5)
+    for _ in range(20):
+        borders = rng.integers(0, 6, size=3).tolist()
+        rows = [{"_f": f"_b{f}", "_leaf": leaf, "_bin": b, "G": float(rng.normal()), "n": int(rng.integers(1, 9))}
+                for f in range(3) for leaf in (0, 2, 3) for b in range(borders[f] + 1) if rng.random() < 0.8]
+        gains = {}
+        for f in range(3):
+            of = [r for r in rows if r["_f"] == f"_b{f}"]
+            for t in range(borders[f] if of else 0):
+                total = 0.0
+                for leaf in {r["_leaf"] for r in of}:
+                    for side in (True, False):
+                        part = [r for r in of if r["_leaf"] == leaf and (r["_bin"] <= t) == side]
+                        if part:
+                            total += sum(r["G"] for r in part) ** 2 / (sum(r["n"] for r in part) + lam)
+                gains[f, t] = total
+        got = rg._best_split(rows, 3, borders, lam)
+        assert got is None and not gains or gains[got] == pytest.approx(max(gains.values()))
