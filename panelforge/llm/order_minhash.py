@@ -1,7 +1,9 @@
 """Document fingerprints by Order MinHash, in DataFrame functions only.
 
-A text is cut into tokens (runs of up to ``TOKEN_CHARS`` characters without
-white space), and every ``K`` tokens in a row are a k-mer (a text of fewer
+A text is cut into tokens: a run of at most ``TOKEN_CHARS`` characters without white
+space is a token, and of a longer run (text of a script without spaces, base64, minified
+code) every character is one, so that no cut depends on an offset.  Every ``K``
+tokens in a row are a k-mer, overlapping the next (a text of fewer
 tokens is one k-mer).  Equal k-mers of a text are numbered by occurrence, so
 that each numbered k-mer is unique.  A hash of (k-mer, number) deals them
 into ``BINS`` bins; each bin keeps its ``TUPLE`` = 2 least, puts them back
@@ -13,7 +15,8 @@ follow edit distance and not only word content.
 
 Everything is array arithmetic within the row: two sorts of packed longs, no
 exploded rows.  k-mers are compared by 37 hash bits, and 2^26 tokens of
-a text have positions of their own.
+a text have positions of their own.  A text of fewer k-mers than about ``BINS`` has
+bins with a lone k-mer: there its fingerprint follows content more than order.
 
 NULL texts count as empty.  Texts without tokens have an empty fingerprint;
 two of those are alike (1.0).  Repeated rows give repeated results.
@@ -30,6 +33,7 @@ from panelforge.operators.ranges import SortKey, bucket_count, range_bucket
 TOKEN_CHARS, K, BIN_BITS = 16, 3, 6
 HASH_BITS, POSITION_BITS = 37, 26
 ROWS_PER_BUCKET = 1_000
+TOKEN = rf"((?<!\S)\S{{1,{TOKEN_CHARS}}}+(?!\S)|\S)"
 
 
 def _packed(hashed: Column, position: Column) -> Column:
@@ -53,7 +57,7 @@ def with_sketch(df: DataFrame, text: str, out: str) -> DataFrame:
     One projection per step: an array that a lambda indexes is a column by then."""
     tok, kmers, starts, numbered = (f"_{out}_{x}" for x in ("tok", "kmers", "starts", "numbered"))
     keep = df.columns
-    df = df.withColumn(tok, F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(rf"(\S{{1,{TOKEN_CHARS}}})"), F.lit(1)))
+    df = df.withColumn(tok, F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(TOKEN), F.lit(1)))
     words = F.col(tok)
     heads = F.slice(words, 1, F.greatest(F.size(words) - (K - 1), F.lit(1)))
     df = df.withColumn(kmers, F.sort_array(F.transform(heads, lambda x, i: _packed(F.xxhash64(x, *[F.get(words, i + j) for j in range(1, K)]), i))))

@@ -260,7 +260,7 @@ def spark_hash(*values):
 def brute_sketch(text):
     """From the definition: numbered k-mers, dealt into bins, the two least in text order."""
     import re
-    tok = [t[i:i + 16] for t in re.findall(r"[^ \t\n\x0b\f\r]+", text) for i in range(0, len(t), 16)]
+    tok = [x for t in re.findall(r"[^ \t\n\x0b\f\r]+", text) for x in ([t] if len(t) <= 16 else t)]
     grams = [spark_hash(*tok[i:i + 3]) & (1 << 37) - 1 for i in range(max(len(tok) - 2, min(1, len(tok))))]
     seen, bins = Counter(), defaultdict(list)
     for i, g in enumerate(grams):
