@@ -32,6 +32,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -41,6 +42,8 @@ from panelforge.llm.common import BATCH_BYTES, handed_on, scratch_table, with_ro
 LENGTH, GRAM, SLICE = 200, 32, 24
 #: Anchors that a task holds before it resolves them among themselves.
 HELD_ANCHORS = 1 << 19
+#: Texts are digested together up to so many bytes, few enough for a core's cache.
+CHUNK_BYTES = 1 << 14
 SIZE_MASK, KNOWN = 0x7FFF, 0x8000
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BYTES = np.random.default_rng(17).integers(1, 1 << 63, 256, np.uint64)
@@ -49,8 +52,10 @@ _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(33))) * _MIX
-    return x ^ (x >> np.uint64(29))
+    x = x ^ (x >> np.uint64(33))
+    x *= _MIX
+    x ^= x >> np.uint64(29)
+    return x
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -65,67 +70,75 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Digests:
-    """Digests of the substrings of one byte string."""
+    """Digests of the substrings of one byte string; they depend on the bytes alone, not on the place."""
 
-    def __init__(self, raw: bytes):
+    def __init__(self, raw: bytes | np.ndarray):
         up, self.down = powers(len(raw))
         self.sums = np.zeros(len(raw) + 1, np.uint64)
-        np.cumsum(_BYTES[np.frombuffer(raw, np.uint8)] * up[:len(raw)], out=self.sums[1:])
+        terms = _BYTES.take(np.frombuffer(raw, np.uint8))
+        terms *= up[:len(raw)]
+        np.cumsum(terms, out=self.sums[1:])
 
     def of(self, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
         return _mix((self.sums[stop] - self.sums[start]) * self.down[start] + (stop - start).astype(np.uint64))
 
     def grams(self, size: int) -> np.ndarray:
         n = len(self.sums) - size
-        return _mix((self.sums[size:] - self.sums[:n]) * self.down[:n])
-
-
-def sliding(x: np.ndarray, width: int, ufunc: np.ufunc, fill: int) -> np.ndarray:
-    """ufunc over every ``width`` neighbours, by running values within blocks of that width."""
-    n = len(x)
-    padded = np.full(-(-n // width) * width, fill, x.dtype)
-    padded[:n] = x
-    blocks = padded.reshape(-1, width)
-    ahead = ufunc.accumulate(blocks, axis=1).ravel()
-    back = ufunc.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
-    return ufunc(back[:n - width + 1], ahead[width - 1:n])
-
-
-def anchors(grams: np.ndarray, width: int) -> np.ndarray:
-    """Positions that hold the least gram of some window of ``width`` grams."""
-    least = sliding(grams, width, np.minimum, (1 << 64) - 1)
-    edge = np.zeros(width - 1, np.uint64)
-    return np.flatnonzero(sliding(np.concatenate([edge, least, edge]), width, np.maximum, 0) == grams)
-
-
-def owners(at: list[int], least: list[int], width: int, n_windows: int) -> tuple[np.ndarray, np.ndarray]:
-    """First and last window whose leftmost least gram is each anchor (none: last < first)."""
-    first, last, stack = [], [0] * len(at), []
-    for i, (x, g) in enumerate(zip(at, least)):
-        while stack and least[stack[-1]] > g:
-            j = stack.pop()
-            last[j] = min(at[j], x - width, n_windows - 1)
-        first.append(max(x - width + 1, at[stack[-1]] + 1 if stack else 0, 0))
-        stack.append(i)
-    for j in stack:
-        last[j] = min(at[j], n_windows - 1)
-    return np.array(first, np.int64), np.array(last, np.int64)
-
-
-def owned(raw: bytes, length: int, gram: int) -> tuple[np.ndarray, ...] | None:
-    """For each anchor with windows: its gram, the digest of the stretch of its
-    windows, its position, and how far before it the last and the first of them start."""
-    if len(raw) < length:
-        return None
+        found = self.sums[size:] - self.sums[:n]
+        found *= self.down[:n]
+        return _mix(found)
+
+
+def least_ahead(x: np.ndarray, width: int) -> np.ndarray:
+    """The least of every ``width`` neighbours, by those of 2, 4, 8 ... neighbours."""
+    size = 1
+    while 2 * size <= width:
+        x = np.minimum(x[:-size], x[size:])
+        size *= 2
+    return np.minimum(x[:len(x) - (width - size)], x[width - size:])
+
+
+def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of all values one after the other, and where each starts and the last ends.  NULLs are empty."""
+    if column.null_count:
+        column = pc.fill_null(column, "" if pa.types.is_string(column.type) or pa.types.is_large_string(column.type) else b"")
+    wide = pa.types.is_large_binary(column.type) or pa.types.is_large_string(column.type)
+    if not len(column):
+        return np.zeros(0, np.uint8), np.zeros(1, np.int64)
+    edges = np.frombuffer(column.buffers()[1], np.int64 if wide else np.int32)[column.offset:column.offset + len(column) + 1].astype(np.int64)
+    held = column.buffers()[2]
+    raw = np.zeros(0, np.uint8) if held is None else np.frombuffer(held, np.uint8)
+    return raw[edges[0]:edges[-1]], edges - edges[0]
+
+
+def chunks(edges: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Ranges of values, each closed once it holds ``CHUNK_BYTES``."""
+    cuts = [0, *(np.flatnonzero(np.diff(edges[1:] // CHUNK_BYTES)) + 1).tolist(), len(edges) - 1]
+    return ((a, b) for a, b in zip(cuts, cuts[1:]) if a < b)
+
+
+def owned(raw: np.ndarray, edges: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
+    """For each anchor with windows, in texts that lie one after the other: its text's
+    number, its gram, the digest of the stretch of its windows, its position in its
+    text, and how far before it the last and the first of them start.  Grams are
+    compared by their upper 32 bits, which leaves the lower ones for the position."""
+    n_windows = len(raw) - length + 1
+    if n_windows < 1:
+        return tuple(np.zeros(0, t) for t in (np.int64, np.uint64, np.uint64, np.int64, np.int64, np.int64))
     digests = Digests(raw)
     grams = digests.grams(gram)
-    width = length - gram + 1
-    at = anchors(grams, width)
-    least = grams[at]
-    first, last = owners(at.tolist(), least.tolist(), width, len(raw) - length + 1)
-    some = last >= first
-    at, first, last = at[some], first[some], last[some]
-    return least[some], digests.of(first, last + length), at, at - last, at - first
+    keys = grams & np.uint64(0xFFFFFFFF00000000)
+    keys |= np.arange(len(grams), dtype=np.uint64)
+    least = least_ahead(keys, length - gram + 1)  # differs where the anchor does
+    sizes = np.diff(edges)
+    ends = edges[:-1] + np.maximum(sizes - length + 1, 0)  # the next windows would reach into the next text
+    borders = np.unique(np.concatenate([np.flatnonzero(least[1:] != least[:-1]) + 1, edges[:-1], ends, [n_windows]]))
+    first, last = borders[:-1], borders[1:] - 1
+    text = np.searchsorted(edges, first, "right") - 1
+    some = (first < n_windows) & (first < ends[np.minimum(text, len(ends) - 1)])
+    first, last, text = first[some], last[some], text[some]
+    at = (least[first] & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    return text, grams[at], digests.of(first, last + length), at - edges[text], at - last, at - first
 
 
 def _pack(at: np.ndarray, near: np.ndarray, far: np.ndarray, n_bytes: int) -> np.ndarray:
@@ -162,15 +175,16 @@ def repeated_spans(src: DataFrame, length: int = LENGTH, gram: int = GRAM) -> Da
                 yield pa.RecordBatch.from_arrays([pa.array(g[s].view(np.int64)), pa.array(c[s].view(np.int64)), pa.array(th[s]), pa.array(packed[s])], ["g", "c", "th", "packed"])
 
         for batch in batches:
-            for th, nb, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
-                raw = text.as_buffer().to_pybytes() if text.is_valid else b""
-                if (got := owned(raw, length, gram)) is not None:
-                    g, c, at, near, far = got
-                    held.append((g, c, np.full(len(g), th, np.int64), _pack(at, near, far, nb)))
+            ths, nbs = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            raw, edges = flat(batch.column(2))
+            for a, b in chunks(edges):
+                text, g, c, at, near, far = owned(raw[edges[a]:edges[b]], edges[a:b + 1] - edges[a], length, gram)
+                if len(g):
+                    held.append((g, c, ths[a:b][text], _pack(at, near, far, nbs[a:b][text])))
                     size += len(g)
-                    if size >= HELD_ANCHORS:
-                        yield from flush()
-                        held, size = [], 0
+                if size >= HELD_ANCHORS:
+                    yield from flush()
+                    held, size = [], 0
         if held:
             yield from flush()
 
@@ -213,33 +227,37 @@ def repeated_spans(src: DataFrame, length: int = LENGTH, gram: int = GRAM) -> Da
         """Digests of the bytes that all windows of a slice share, and of all bytes they
         cover.  A window that starts t bytes before its anchor starts at far - t here."""
         for batch in batches:
-            sids, ks, shared, covered = [], [], [], []
-            for sid, packed, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
-                _, near, far = (int(x) for x in _unpack(np.int64(packed)))
-                k = np.arange(near // SLICE, far // SLICE + 1)
-                digests, start = Digests(raw.as_py()), far - k * SLICE
+            sids, packed = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            raw, edges = flat(batch.column(2))
+            for a, b in chunks(edges):
+                digests = Digests(raw[edges[a]:edges[b]])
+                _, near, far = _unpack(packed[a:b])
+                n = far // SLICE - near // SLICE + 1
+                row = np.repeat(np.arange(b - a), n)
+                k = np.arange(len(row)) - np.repeat(np.cumsum(n) - n - near // SLICE, n)
+                near, far, base = near[row], far[row], (edges[a:b] - edges[a])[row]
+                start = base + far - k * SLICE
                 first, last = np.maximum(k * SLICE, near), np.minimum(k * SLICE + SLICE - 1, far)
-                shared.append(_mix(digests.of(start, start - SLICE + 1 + length) + k.astype(np.uint64)))
-                covered.append(_mix(digests.of(far - last, far - first + length) + (first * 256 + last).astype(np.uint64)))
-                sids += [sid] * len(k)
-                ks += k.tolist()
-            if sids:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).view(np.int64)) for x in (shared, covered)] + [pa.array(sids, pa.int64()), pa.array(ks, pa.int32())], ["d", "hull", "sid", "slice"])
+                shared = _mix(digests.of(start, start - SLICE + 1 + length) + k.astype(np.uint64))
+                covered = _mix(digests.of(base + far - last, base + far - first + length) + (first * 256 + last).astype(np.uint64))
+                yield pa.RecordBatch.from_arrays([pa.array(shared.view(np.int64)), pa.array(covered.view(np.int64)), pa.array(sids[a:b][row]), pa.array(k.astype(np.int32))], ["d", "hull", "sid", "slice"])
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Digest and first byte of each window in the slices that have company."""
         for batch in batches:
-            ths, nbs, starts, named = [], [], [], []
-            for th, nb, packed, raw, listed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3), batch.column(4).to_pylist()):
-                at, near, far = (int(x) for x in _unpack(np.int64(packed)))
-                t = (np.unique(listed)[:, None] * SLICE + np.arange(SLICE)).ravel()
-                t = t[(t >= near) & (t <= far)]
-                named.append(_mix(Digests(raw.as_py()).of(far - t, far - t + length) + t.astype(np.uint64)))
-                starts.append(at - t)
-                ths += [th] * len(t)
-                nbs += [nb] * len(t)
-            if ths:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(named).view(np.int64)), pa.array(ths, pa.int64()), pa.array(nbs, pa.int32()), pa.array(np.concatenate(starts), pa.int64())], ["d", "th", "nb", "start"])
+            ths, nbs, packed = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1, 2))
+            raw, edges = flat(batch.column(3))
+            listed = batch.column(4).flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+            ends = np.append(0, np.cumsum(pc.list_value_length(batch.column(4)).to_numpy(zero_copy_only=False)))
+            for a, b in chunks(edges):
+                at, near, far = _unpack(packed[a:b])
+                row = np.repeat(np.repeat(np.arange(b - a), np.diff(ends[a:b + 1])), SLICE)
+                t = (listed[ends[a]:ends[b], None] * SLICE + np.arange(SLICE)).ravel()
+                some = (t >= near[row]) & (t <= far[row])
+                t, row = t[some], row[some]
+                start = (edges[a:b] - edges[a] + far)[row] - t
+                named = _mix(Digests(raw[edges[a]:edges[b]]).of(start, start + length) + t.astype(np.uint64))
+                yield pa.RecordBatch.from_arrays([pa.array(named.view(np.int64)), pa.array(ths[a:b][row]), pa.array(nbs[a:b][row]), pa.array(at[row] - t)], ["d", "th", "nb", "start"])
 
     sliced = stretches.select("sid", "packed", "raw").mapInArrow(slices, "d long, hull long, sid long, slice int")
     sliced = sliced.join(sliced.groupBy("d").agg(F.count("*").alias("n")).filter("n > 1").select("d"), "d", "left_semi")
