@@ -15,7 +15,7 @@ from panelforge.operators import regress as rg
 from panelforge.operators import scale as sc
 from panelforge.operators import splits as spl
 from panelforge.operators.metrics import metrics_table
-from panelforge.session import release_unreferenced
+from panelforge.session import release_unreferenced, sized
 
 
 def run_option(panel: DataFrame, features, target: str, design: str = "temporal",
@@ -29,7 +29,7 @@ def run_option(panel: DataFrame, features, target: str, design: str = "temporal"
     metrics DF)."""
     grids = grids or rg.PARAM_GRIDS
     features = list(features)
-    data = panel.filter(F.col(target).isNotNull())
+    data, held = sized(panel.filter(F.col(target).isNotNull()))
     if design == "geographical":
         lab = spl.geographical_split(data, entity, seed)
         order, kind = [entity, period], "kfold"
@@ -60,5 +60,6 @@ def run_option(panel: DataFrame, features, target: str, design: str = "temporal"
     pred = pred.cache()
     pred.count()
     scaled.unpersist()
+    held.unpersist()
     score_df = spark.createDataFrame(scores, "Model string, CV_RMSE double, Time_s double, params string")
     return pred, score_df, metrics_table(pred)

@@ -2,10 +2,9 @@
 
 Forests and gradient-boosted trees are ``pyspark.ml``; Ridge and Lasso are
 solved from additive moments, a whole grid in one pass.  Linear SVR (and its RBF variant through
-random Fourier features) has no Spark estimator: it is fitted here by
-full-batch gradient steps, each one distributed aggregate over the cached
-training rows (the same shape as Spark's own LinearSVC / L-BFGS loops),
-the k+1 parameters living on the driver.
+random Fourier features) has no Spark estimator: it is fitted by Newton steps
+(:mod:`panelforge.operators.svr`), each one a distributed aggregate over the cached
+rows that serves all fits of a grid, the k+1 parameters of each living on the driver.
 
 Parameter mapping to the reference estimators, checked numerically:
 * Ridge(alpha), Lasso(alpha) -> solved from cross products
@@ -32,6 +31,7 @@ from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from panelforge.operators import svr
 from panelforge.operators.moments import FITS, fold_moments, moments_by
 
 FEATURES = "_features"
@@ -110,114 +110,15 @@ class LinearExprModel:
         return df.withColumn("prediction", self.predict_expr())
 
 
-#: Step lengths that the line search of :func:`fit_svr` tries at once.
-_STEPS = 0.5 ** np.arange(30)
-
-
-def _svr_loss(r, eps, mu):
-    """ε-insensitive loss of residuals, rounded to a parabola over ``mu``; its
-    slope and whether a residual lies on the parabola."""
-    u = np.abs(r) - eps
-    on = (u > 0) & (u < mu)
-    loss = np.where(on, u * u / (2 * mu), np.where(u >= mu, u - mu / 2, 0.0))
-    return loss, np.where(on, u / mu, (u >= mu).astype(float)) * np.sign(r), on
-
-
-def _svr_sums(w, b, eps, mu, zn, step=None):
-    """Per-partition sums (NumPy on Arrow batches; the weights travel in the
-    closure, so no plan is recompiled between steps): gradient, Hessian, loss
-    and true loss, or with ``step`` the losses at each of ``_STEPS`` along it."""
-    import pandas as pd
-
-    def run(batches):
-        k = len(zn) + 1
-        out = np.zeros(len(_STEPS)) if step is not None else np.zeros(k + k * k + 2)
-        for pdf in batches:
-            z = np.column_stack([pdf[zn].to_numpy(dtype=float), np.ones(len(pdf))])
-            r = pdf["_y"].to_numpy(dtype=float) - z @ np.append(w, b)
-            if step is not None:
-                along = z @ step
-                out += [_svr_loss(r - t * along, eps, mu)[0].sum() for t in _STEPS]
-                continue
-            loss, slope, on = _svr_loss(r, eps, mu)
-            out[:k] -= z.T @ slope
-            out[k:k + k * k] += (z[on].T @ z[on]).ravel() / mu
-            out[-2:] += loss.sum(), np.maximum(np.abs(r) - eps, 0).sum()
-        yield pd.DataFrame({"sums": [out.tolist()]})
-    return run
-
-
 def fit_svr(train: DataFrame, features, label: str, C: float = 1.0, epsilon: float = 0.1,
             kernel: str = "linear", gamma="scale", n_components: int = 100,
             max_iter: int = 500, tol: float = 1e-3, seed: int = SEED) -> LinearExprModel:
-    """ε-insensitive regression, primal ½|w|² + C·Σ max(0, |y - f(x)| - ε),
-    minimised by Newton steps on the loss rounded over a width μ that shrinks
-    until it changes the objective by less than ``tol`` of it, so the result is
-    within about that of the optimum.  A step is two aggregates
-    over the cached rows; RuntimeError if ``max_iter`` steps are not enough.
-    ``kernel='rbf'`` maps the
-    inputs to ``n_components`` random Fourier features of
-    exp(-γ|x-x'|²) (Rahimi & Recht), γ='scale' = 1 / (p · Var(X))."""
+    """One ε-insensitive regression (:mod:`panelforge.operators.svr`);
+    RuntimeError if ``max_iter`` Newton steps are not enough."""
     features = list(features)
-    rff = None
-    if kernel == "rbf":
-        p = len(features)
-        if gamma == "scale":
-            long = train.select(F.explode(F.array(*[F.col(c).cast("double") for c in features])).alias("v"))
-            v = long.agg(F.var_pop("v")).first()[0] or 1.0
-            gamma = 1.0 / (p * v) if v > 0 else 1.0
-        rng = np.random.default_rng(seed)
-        rff = (rng.normal(scale=math.sqrt(2 * gamma), size=(n_components, p)),
-               rng.uniform(0, 2 * math.pi, size=n_components))
-    model = LinearExprModel(features, np.zeros(n_components if rff else len(features)), 0.0, rff)
-    zcols = model._inputs()
-    k = len(zcols)
-    data = train.select(*[z.alias(f"_z{i}") for i, z in enumerate(zcols)],
-                        F.col(label).cast("double").alias("_y"))
-    st = data.agg(F.count("_y").alias("n"), F.avg("_y").alias("m"), F.stddev_pop("_y").alias("s")).first()
-    n, ym = st["n"], st["m"] or 0.0
-    ys = st["s"] if st["s"] else 1.0
-    # Standardised label: ½|w'|² + (C/s)·Σ max(0, |y' - f'| - ε/s) is the
-    # original objective divided by s², so the minimiser maps back exactly
-    # (w = s·w', b = s·b' + mean); it only makes fixed step sizes sensible.
-    c_s, eps_s = C / ys, epsilon / ys
-    w = np.zeros(k)
-    b = 0.0
-    zn = [f"_z{i}" for i in range(k)]
-    std = data.filter("_y is not null").select(*zn, ((F.col("_y") - F.lit(ym)) / F.lit(ys)).alias("_y")).cache()
-
-    def sums(mu, step=None):
-        rows = std.mapInPandas(_svr_sums(w.copy(), b, eps_s, mu, zn, step), "sums array<double>").collect()
-        return np.sum([r["sums"] for r in rows], axis=0)  # one row per partition
-
-    try:
-        mu, steps = 1.0, 0
-        while n:
-            got = sums(mu)
-            grad = c_s * got[:k + 1] + np.append(w, 0.0)
-            hess = c_s * got[k + 1:-2].reshape(k + 1, k + 1) + np.diag(np.append(np.ones(k), 0.0))
-            value = 0.5 * w @ w + c_s * got[-2]
-            hess[k, k] += 0.1 * c_s / mu  # without a row on the parabola the bias has no curvature
-            step = -np.linalg.solve(hess, grad)
-            if -grad @ step / 2 <= 0.1 * tol * value + 1e-15:  # the decrease that Newton's model still has
-                true = 0.5 * w @ w + c_s * got[-1]
-                if true - value <= tol * true + 1e-12:  # the rounded objective is nowhere above the true one
-                    break
-                mu /= 4
-                continue
-            if steps >= max_iter:
-                raise RuntimeError(f"SVR: no convergence in {max_iter} steps")
-            steps += 1
-            values = np.array([0.5 * x @ x for x in w + _STEPS[:, None] * step[:k]]) + c_s * sums(mu, step)
-            best = int(values.argmin())
-            if values[best] >= value:  # below rounding error
-                raise RuntimeError("SVR: no step lessens the objective")
-            w, b = w + _STEPS[best] * step[:k], b + _STEPS[best] * step[k]
-    finally:
-        std.unpersist()
-    w = w * ys
-    b = b * ys + ym
-    return LinearExprModel(features, w, b, rff)
+    with svr.Rows(train, features, label) as rows:
+        line = rows.fit([svr.Fit(lambda part: part >= 0, C, epsilon, kernel, gamma)], n_components, max_iter, tol, seed)[0]
+    return LinearExprModel(features, line.w, line.b, line.rff)
 
 
 # ------------------------------------------------- oblivious boosting (ML7 v2)
@@ -422,6 +323,8 @@ def grid_search(name: str, grid: dict, train: DataFrame, folds: DataFrame, featu
     from concurrent.futures import ThreadPoolExecutor
     t0 = time.time()
     cells = grid_cells(grid)
+    if name == "SVR":
+        return _svr_grid(cells, train.sparkSession, folds, list(features), label, n_folds, kind, t0)
     if name in FITS:
         return _linear_grid(name, cells, train.sparkSession, folds, list(features), label, n_folds, kind, t0)
     folds = folds.cache()
@@ -465,6 +368,33 @@ def _linear_grid(name: str, cells: list, spark, folds: DataFrame, features: list
     return fitted, scores, mean[best], time.time() - t0
 
 
+def _svr_grid(cells: list, spark, folds: DataFrame, features: list, label: str, n_folds: int, kind: str, t0: float):
+    """:func:`grid_search` of SVR: the fits of all cells and folds share their passes over the rows,
+    and so does the refit if there is but one cell."""
+    if kind == "kfold":
+        part, trains_on = F.col("fold"), [lambda part, f=f: part != f for f in range(n_folds)]
+    else:  # each row once: the first stretch, and the tests of each fold
+        folds = folds.filter("role = 'test' OR fold = 0")
+        part = F.when(F.col("role") == "test", F.col("fold")).otherwise(-1)
+        trains_on = [lambda part, f=f: part < f for f in range(n_folds)]
+    held_out = [lambda part, f=f: part == f for f in range(n_folds)]
+    given = [(float(c.get("C", 1.0)), float(c.get("epsilon", 0.1)), c.get("kernel", "linear")) for c in cells]
+    jobs = [(ci, f) for ci in range(len(cells)) for f in range(n_folds)]
+    whole = [svr.Fit(lambda part: part >= -1, *g) for g in given]
+    limits = dict(n_components=100, max_iter=500, tol=1e-3, seed=SEED)
+    with svr.Rows(folds, features, label, part) as rows:
+        fits = [svr.Fit(trains_on[f], *given[ci]) for ci, f in jobs]
+        lines = rows.fit(fits + (whole if len(cells) == 1 else []), **limits)
+        rmse = rows.rmse(lines[:len(jobs)], [held_out[f] for _, f in jobs])
+        mean = [float(np.mean(rmse[i * n_folds:(i + 1) * n_folds])) for i in range(len(cells))]
+        best = int(np.argmin(mean))
+        line = lines[-1] if len(cells) == 1 else rows.fit([whole[best]], **limits)[0]
+    fitted = Fitted("SVR", cells[best], LinearExprModel(features, line.w, line.b, line.rff), features)
+    scores = spark.createDataFrame([("SVR", json.dumps(cells[ci], sort_keys=True), f, r) for (ci, f), r in zip(jobs, rmse)],
+                                   "Model string, params string, fold int, rmse double")
+    return fitted, scores, mean[best], time.time() - t0
+
+
 def predictions(fitted: Fitted, df: DataFrame, label: str, keep, split: str) -> DataFrame:
     """Long predictions rows (Model, Split, keep..., actual, predicted)."""
     return fitted.transform(df).select(F.lit(fitted.name).alias("Model"), F.lit(split).alias("Split"),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import os
 import tempfile
 import uuid
@@ -113,6 +114,14 @@ def release_unreferenced(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def sized(df: DataFrame, partition_rows: int = 10_000) -> tuple[DataFrame, DataFrame]:
+    """``df`` in partitions of about ``partition_rows`` rows, never more partitions than it
+    has, and the cached frame behind it, to be unpersisted: the many short jobs of
+    iterative fitting on a small panel then start few tasks."""
+    held = df.cache()
+    return held.coalesce(max(1, math.ceil(held.count() / partition_rows))), held
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint into the shared checkpoint folder (survives
     executor loss, unlike a local checkpoint)."""
