@@ -28,9 +28,9 @@ def is_tree_model(model) -> bool:
     from pyspark.ml.regression import (DecisionTreeRegressionModel, GBTRegressionModel,
                                        RandomForestRegressionModel)
     inner = getattr(model, "model", model)
-    from panelforge.operators.regress import ObliviousBoostModel
+    from panelforge.operators.regress import ObliviousBoostModel, TreesModel
     return isinstance(inner, (DecisionTreeRegressionModel, GBTRegressionModel,
-                              RandomForestRegressionModel, ObliviousBoostModel))
+                              RandomForestRegressionModel, ObliviousBoostModel, TreesModel))
 
 
 def shap_linear(x: DataFrame, row_id: str, coef: dict, background: DataFrame) -> DataFrame:

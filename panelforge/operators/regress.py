@@ -5,6 +5,8 @@ solved from additive moments, a whole grid in one pass.  Linear SVR (and its RBF
 random Fourier features) has no Spark estimator: it is fitted by Newton steps
 (:mod:`panelforge.operators.svr`), each one a distributed aggregate over the cached
 rows that serves all fits of a grid, the k+1 parameters of each living on the driver.
+The grids of SVR and of the tree families over a panel that fits in one partition are dealt
+out over tasks, a fit each (:mod:`panelforge.operators.dealt`).
 
 Parameter mapping to the reference estimators, checked numerically:
 * Ridge(alpha), Lasso(alpha) -> solved from cross products
@@ -23,18 +25,23 @@ import itertools
 import json
 import math
 import time
+from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.linalg import DenseVector
 from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelforge.operators import svr
+from panelforge.operators import dealt, svr
 from panelforge.operators.moments import FITS, fold_moments, moments_by
+from panelforge.operators.trees import Trees
 
 FEATURES = "_features"
+# So many symmetric trees become an expression each; more are looped over.
+MAX_INLINE_TREES = 32
 
 # The reference hyper-parameter grids (sizes 6, 6, 24, 72, 48, 36).
 PARAM_GRIDS = {
@@ -93,18 +100,17 @@ class LinearExprModel:
     def intercept(self) -> float:
         return self.b
 
-    def _inputs(self) -> list:
+    def predict_expr(self) -> Column:
         xs = [F.col(c).cast("double") for c in self.features]
         if self.rff is None:
-            return xs
+            return sum((x * F.lit(float(wi)) for x, wi in zip(xs, self.w)), F.lit(self.b))
+        # a loop over one constant array: an expression for each component outgrows a Java method
         omega, phase = self.rff
-        d = len(phase)
-        scale = math.sqrt(2.0 / d)
-        return [F.lit(scale) * F.cos(sum((x * F.lit(float(omega[i, j])) for j, x in enumerate(xs)),
-                                         F.lit(float(phase[i])))) for i in range(d)]
-
-    def predict_expr(self) -> Column:
-        return sum((z * F.lit(float(wi)) for z, wi in zip(self._inputs(), self.w)), F.lit(self.b))
+        scale = math.sqrt(2.0 / len(phase))
+        text = json.dumps([{"o": o.tolist(), "p": float(p), "w": scale * float(wi)} for o, p, wi in zip(omega, phase, self.w)])
+        components = F.from_json(F.lit(text), "array<struct<o:array<double>,p:double,w:double>>")
+        angle = lambda c: F.aggregate(F.zip_with(F.array(*xs), c["o"], lambda x, o: x * o), c["p"], lambda total, v: total + v)
+        return F.aggregate(components, F.lit(self.b), lambda total, c: total + c["w"] * F.cos(angle(c)))
 
     def transform(self, df: DataFrame) -> DataFrame:
         return df.withColumn("prediction", self.predict_expr())
@@ -140,15 +146,61 @@ class ObliviousBoostModel:
         return leaf
 
     def predict_expr(self) -> Column:
+        if len(self.trees) > MAX_INLINE_TREES:
+            return self._looped()
         out = F.lit(self.base)
         for splits, values in self.trees:
             out = out + F.element_at(F.array(*[F.lit(float(v)) for v in values]), self.leaf_expr(splits) + 1)
         return out
 
+    def _looped(self) -> Column:
+        """The same sum as a loop over one constant array of trees."""
+        at = {f: i + 1 for i, f in enumerate(self.features)}
+        text = json.dumps([{"s": [{"f": at[f], "t": float(t)} for f, t in splits], "v": [float(v) for v in values]} for splits, values in self.trees])
+        trees = F.from_json(F.lit(text), "array<struct<s:array<struct<f:int,t:double>>,v:array<double>>>")
+        x = F.array(*[F.col(c).cast("double") for c in self.features])
+        leaf = lambda splits: F.aggregate(splits, F.lit(0), lambda at, s: at * 2 + F.when(
+            F.coalesce(F.element_at(x, s["f"]) > s["t"], F.lit(False)), 1).otherwise(0))
+        return F.aggregate(trees, F.lit(self.base), lambda total, tree: total + F.element_at(tree["v"], leaf(tree["s"]) + 1))
+
     def transform(self, df: DataFrame) -> DataFrame:
         return df.withColumn("prediction", self.predict_expr())
 
 
+class TreesModel:
+    """A forest or boosted trees (:mod:`panelforge.operators.trees`), their weighted sum the prediction.
+    A NULL or NaN feature raises."""
+
+    def __init__(self, features, trees: Trees):
+        self.features, self.trees = list(features), trees
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        trees = self.trees
+
+        @F.pandas_udf("double")
+        def predict(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
+            for columns in batches:
+                x = np.column_stack([c.to_numpy(dtype=float) for c in columns])
+                if np.isnan(x).any():
+                    raise ValueError("a row has a NULL or NaN feature")
+                yield pd.Series(trees.predict(x))
+
+        return df.withColumn("prediction", predict(*[F.col(c).cast("double") for c in self.features]))
+
+    def table(self, spark) -> DataFrame:
+        """A row per node; a root has its tree's weight."""
+        t = self.trees
+        weight = np.concatenate([t.weight, np.full(len(t.feature) - len(t.weight), np.nan)])
+        columns = zip(t.feature.tolist(), t.cut.tolist(), t.left.tolist(), t.right.tolist(), t.value.tolist(), weight.tolist())
+        return spark.createDataFrame([(i, *c) for i, c in enumerate(columns)],
+                                     "node int, feature int, cut double, left int, right int, value double, weight double")
+
+    @classmethod
+    def from_table(cls, features, df: DataFrame) -> TreesModel:
+        c = [np.array(v) for v in zip(*df.orderBy("node").drop("node").collect())]
+        return cls(features, Trees(*c[:5], c[5][~np.isnan(c[5])]))
+
+
 def fit_oblivious(train: DataFrame, features, label: str, iterations: int = 200, depth: int = 6,
                   learning_rate: float = 0.1, l2_leaf_reg: float = 3.0, border_count: int = 32,
                   cut_every: int = 10) -> ObliviousBoostModel:
@@ -257,7 +309,7 @@ class Fitted:
         self.name, self.params, self.model, self.features = name, params, model, list(features)
 
     def transform(self, df: DataFrame) -> DataFrame:
-        if isinstance(self.model, (LinearExprModel, ObliviousBoostModel)):
+        if isinstance(self.model, (LinearExprModel, ObliviousBoostModel, TreesModel)):
             return self.model.transform(df)
         return self.model.transform(assemble(df, self.features)).drop(FEATURES)
 
@@ -323,6 +375,8 @@ def grid_search(name: str, grid: dict, train: DataFrame, folds: DataFrame, featu
     from concurrent.futures import ThreadPoolExecutor
     t0 = time.time()
     cells = grid_cells(grid)
+    if len(cells) > 1 and name not in FITS and (rows := _held(folds, list(features), label, kind)) is not None:
+        return _dealt_grid(name, cells, train.sparkSession, rows, list(features), n_folds, kind, t0)
     if name == "SVR":
         return _svr_grid(cells, train.sparkSession, folds, list(features), label, n_folds, kind, t0)
     if name in FITS:
@@ -368,6 +422,33 @@ def _linear_grid(name: str, cells: list, spark, folds: DataFrame, features: list
     return fitted, scores, mean[best], time.time() - t0
 
 
+def _held(folds: DataFrame, features: list, label: str, kind: str):
+    """The rows of ``folds``, each once, if they are few enough to go to every task; their parts as in :func:`_svr_grid`."""
+    if kind == "kfold":
+        return dealt.held(folds, features, label, F.col("fold"))
+    part = F.when(F.col("role") == "test", F.col("fold")).otherwise(-1)
+    return dealt.held(folds.filter("role = 'test' OR fold = 0"), features, label, part)
+
+
+def _dealt_grid(name: str, cells: list, spark, rows, features: list, n_folds: int, kind: str, t0: float):
+    """:func:`grid_search` of a panel that goes to every task (:mod:`panelforge.operators.dealt`)."""
+    trains_on = (lambda part, f: part != f) if kind == "kfold" else (lambda part, f: part < f)
+    rmse = dealt.scores(spark, name, cells, rows, n_folds, trains_on, SEED)
+    mean = [float(np.mean(r)) for r in rmse]
+    best = int(np.argmin(mean))
+    made = dealt.refit(spark, name, cells[best], rows, SEED)
+    if name == "SVR":
+        model = LinearExprModel(features, made.w, made.b, made.rff)
+    elif name == "CatBoost":
+        model = ObliviousBoostModel(features, made.base, [([(features[f], made.borders[f][t]) for f, t in splits], values)
+                                                          for splits, values in made.trees])
+    else:
+        model = TreesModel(features, made)
+    scores = spark.createDataFrame([(name, json.dumps(c, sort_keys=True), f, r) for c, of in zip(cells, rmse) for f, r in enumerate(of)],
+                                   "Model string, params string, fold int, rmse double")
+    return Fitted(name, cells[best], model, features), scores, mean[best], time.time() - t0
+
+
 def _svr_grid(cells: list, spark, folds: DataFrame, features: list, label: str, n_folds: int, kind: str, t0: float):
     """:func:`grid_search` of SVR: the fits of all cells and folds share their passes over the rows,
     and so does the refit if there is but one cell."""
@@ -426,8 +507,8 @@ def score_batch(df: DataFrame, fitted: "Fitted", scaler: dict | None = None,
 
 # ----------------------------------------------------------------- persistence
 def save_fitted(fitted: Fitted, path: str) -> None:
-    """SNK4: pyspark.ml models through MLWriter; SVR parameters and
-    symmetric trees as Parquet tables."""
+    """SNK4: pyspark.ml models through MLWriter; SVR parameters, symmetric
+    trees and trees fitted in tasks as Parquet tables."""
     spark = None
     if isinstance(fitted.model, ObliviousBoostModel):
         from pyspark.sql import SparkSession
@@ -450,9 +531,13 @@ def save_fitted(fitted: Fitted, path: str) -> None:
             rows += [("phase", i, float(v)) for i, v in enumerate(ph)]
         spark.createDataFrame(rows, "kind string, idx int, value double").coalesce(1) \
             .write.mode("overwrite").parquet(path + "/svr")
+    elif isinstance(fitted.model, TreesModel):
+        from pyspark.sql import SparkSession
+        fitted.model.table(SparkSession.getActiveSession()).coalesce(1).write.mode("overwrite").parquet(path + "/nodes")
     else:
         fitted.model.write().overwrite().save(path + "/model")
-    meta = json.dumps({"name": fitted.name, "params": fitted.params, "features": fitted.features})
+    meta = json.dumps({"name": fitted.name, "params": fitted.params, "features": fitted.features,
+                       "nodes": isinstance(fitted.model, TreesModel)})
     from pyspark.sql import SparkSession
     spark = spark or SparkSession.getActiveSession()
     spark.createDataFrame([(meta,)], "meta string").coalesce(1).write.mode("overwrite").json(path + "/meta")
@@ -475,6 +560,8 @@ def load_fitted(spark, path: str) -> Fitted:
         trees = [(list(zip(r["features"], r["thresholds"])), list(r["leaves"])) for r in rows[1:]]
         model = ObliviousBoostModel(rows[0]["features"], rows[0]["leaves"][0], trees)
         return Fitted(name, meta["params"], model, feats)
+    if meta.get("nodes"):
+        return Fitted(name, meta["params"], TreesModel.from_table(feats, spark.read.parquet(path + "/nodes")), feats)
     from pyspark.ml.regression import GBTRegressionModel, RandomForestRegressionModel
     cls = {"Random Forest": RandomForestRegressionModel, "XGBoost": GBTRegressionModel}[name]
     return Fitted(name, meta["params"], cls.load(path + "/model"), feats)

@@ -224,3 +224,29 @@ class Rows:
         if any(np.ndim(g) == 0 or not g[1] for g in got):
             raise ValueError("a fold has no rows to score")
         return [math.sqrt(g[0] / g[1]) for g in got]
+
+
+class Held(Rows):
+    """Rows at hand as arrays: a pass over them is no job."""
+
+    def __init__(self, x: np.ndarray, y: np.ndarray, part: np.ndarray):
+        self.names, self.n_partitions = [f"_x{i}" for i in range(x.shape[1])], 1
+        self.x, self.y, self.part = x, y, part
+
+    def __exit__(self, *_) -> None:
+        pass
+
+    def sums(self, requests: list[Callable]) -> list[np.ndarray]:
+        return [request(self.x, self.y, self.part) for request in requests]
+
+    def _spread(self, fits: Sequence[Fit]) -> list[tuple[int, float, float]]:
+        used = [self.y[f.trains_on(self.part)] for f in fits]
+        return [(len(y), float(y.mean()) or 0.0, float(y.std()) or 1.0) if len(y) else (0, 0.0, 1.0) for y in used]
+
+    def _gammas(self, fits: Sequence[Fit]) -> list[float]:
+        found = []
+        for f in fits:
+            values = self.x[f.trains_on(self.part)]
+            scaled = f.kernel == "rbf" and f.gamma == "scale"
+            found.append(1.0 / (len(self.names) * (values.size and float(values.var()) or 1.0)) if scaled else f.gamma)
+        return found
