@@ -15,7 +15,16 @@ from panelforge.operators import regress as rg
 from panelforge.operators import scale as sc
 from panelforge.operators import splits as spl
 from panelforge.operators.metrics import metrics_table
-from panelforge.session import release_unreferenced
+from panelforge.session import cut_lineage, release_unreferenced
+
+
+def _begun_anew(df: DataFrame) -> DataFrame:
+    """``df`` with the same rows in the same partitions, computed once: the plans over it begin here.
+    The driver keeps the plan of every job, and those of all families would each hold the panel's."""
+    held = df.cache()
+    out = cut_lineage(held)
+    held.unpersist()
+    return out
 
 
 def run_option(panel: DataFrame, features, target: str, design: str = "temporal",
@@ -37,12 +46,17 @@ def run_option(panel: DataFrame, features, target: str, design: str = "temporal"
         lab = spl.temporal_split(data, period)
         order, kind = [period, entity], "timeseries"
     params = sc.fit_robust_scaler(lab.filter("split = 'train'"), features)
-    scaled = sc.apply_scaler(lab, params).cache()
+    scaled = sc.apply_scaler(lab, params)
+    if len(models) > 1:
+        scaled = _begun_anew(scaled)
+    scaled = scaled.cache()
     train = scaled.filter("split = 'train'")
     if kind == "kfold":
         folds = spl.kfold_contiguous(train, order, n_folds)
     else:
         folds = spl.timeseries_cv(train, order, n_folds)
+    if len(models) > 1:
+        folds = _begun_anew(folds)
     preds, scores = [], []
     spark = panel.sparkSession
     for name in models:

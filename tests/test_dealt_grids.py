@@ -1,5 +1,6 @@
 """Grids whose fits are dealt out over tasks: the same models as the distributed fits, every cell and tree."""
 
+import inspect
 import json
 
 import numpy as np
@@ -29,21 +30,41 @@ def _held(x, y):
     return dealt.Held(x, np.zeros(x.shape, bool), y, np.arange(len(y)) % 3)
 
 
-def test_option_run_takes_the_whole_reference_grids(spark, monkeypatch):
-    searched = {}
+def test_option_run_takes_the_whole_reference_grids(monkeypatch):
+    class Called(Exception):
+        pass
 
-    def search(name, grid, train, folds, features, label, *_):
-        searched[name] = grid
-        model = rg.LinearExprModel(features, np.zeros(len(features)), 0.0)
-        return rg.Fitted(name, {}, model, features), None, 0.0, 0.0
+    def run(*args, **named):
+        raise Called(inspect.signature(options.run_option).bind(*args, **named))
+
+    monkeypatch.setattr(qm, "run_option", run)
+    monkeypatch.setattr(qm.panels, "nation_year_panel", lambda spark, d: None)
+    with pytest.raises(Called) as called:
+        qm.q_option_run(None, "")
+    called.value.args[0].apply_defaults()
+    given = called.value.args[0].arguments
+    grids = given["grids"] or rg.PARAM_GRIDS
+    assert [len(rg.grid_cells(grids[m])) for m in given["models"]] == [6, 6, 24, 72, 48, 36]
+    assert grids == rg.PARAM_GRIDS and given["n_folds"] == 5
+
+
+def test_a_run_of_several_families_begins_its_plans_anew(spark, monkeypatch):
+    plans, rows = {}, [(c, t, float(c + t * t), float(c), float(t)) for c in range(8) for t in range(4)]
+    panel = spark.createDataFrame(rows, "Code int, Year int, target double, a double, b double").coalesce(1)
+
+    def search(name, grid, train, folds, features, label, *_, old=rg.grid_search):
+        plans[name] = [df._jdf.queryExecution().optimizedPlan().toString().count("Join") for df in (train, folds)]
+        return old(name, grid, train, folds, features, label, *_)
 
     monkeypatch.setattr(options.rg, "grid_search", search)
-    panel = spark.createDataFrame([(c, t, float(c + t), *(float(c * t + k) for k in range(len(qm.FEATS)))) for c in range(20) for t in range(4)],
-                                  ["Code", "Year", "target", *qm.FEATS])
-    monkeypatch.setattr(qm.panels, "nation_year_panel", lambda spark, d: panel)
-    qm.q_option_run(spark, "")
-    assert searched == rg.PARAM_GRIDS
-    assert [len(rg.grid_cells(g)) for g in searched.values()] == [6, 6, 24, 72, 48, 36]
+    grids = {m: {"alpha": [0.1, 10]} for m in ("Ridge", "Lasso")}
+    pred, scores, _ = options.run_option(panel, ["a", "b"], "target", "geographical", ("Ridge", "Lasso"), grids, n_folds=2)
+    assert plans == {"Ridge": [0, 0], "Lasso": [0, 0]}
+    alone = options.run_option(panel, ["a", "b"], "target", "geographical", ("Lasso",), grids, n_folds=2)
+    got, want = ([(r["Split"], r["Code"], r["Year"], r["predicted"]) for r in p.filter("Model = 'Lasso'").orderBy("Split", "Code", "Year").collect()]
+                 for p in (pred, alone[0]))
+    assert [r[:3] for r in got] == [r[:3] for r in want] and [r[3] for r in got] == pytest.approx([r[3] for r in want])
+    assert scores.filter("Model = 'Lasso'").first()["CV_RMSE"] == pytest.approx(alone[1].first()["CV_RMSE"])
 
 
 def test_boosted_trees_are_those_of_pyspark(spark):
@@ -89,10 +110,10 @@ def test_a_forest_draws_rows_and_features():
 
 def test_symmetric_trees_are_those_of_the_aggregates(spark):
     x, y = _rows()
-    df = _frame(spark, x, y).withColumn("b", F.when(F.col("i") % 7 > 0, F.col("b"))).withColumn("c", F.lit(2.0))
-    ours = dealt.fit("CatBoost", {"iterations": 12, "depth": 3, "learning_rate": 0.2, "l2_leaf_reg": 3}, dealt.held(df, COLS, "y", F.col("fold")), 42)
-    theirs = rg.fit_oblivious(df, COLS, "y", 12, 3, 0.2, 3.0)
-    assert ours.base == pytest.approx(theirs.base) and len(ours.trees) == 12
+    df = _frame(spark, x, y).coalesce(1).withColumn("b", F.when(F.col("i") % 7 > 0, F.col("b"))).withColumn("c", F.lit(2.0))
+    ours = dealt.fit("CatBoost", {"iterations": 5, "depth": 3, "learning_rate": 0.2, "l2_leaf_reg": 3}, dealt.held(df, COLS, "y", F.col("fold")), 42)
+    theirs = rg.fit_oblivious(df, COLS, "y", 5, 3, 0.2, 3.0)
+    assert ours.base == pytest.approx(theirs.base) and len(ours.trees) == 5
     for (splits, values), (cuts, want) in zip(ours.trees, theirs.trees):
         assert [(COLS[f], ours.borders[f][t]) for f, t in splits] == cuts
         assert values == pytest.approx(want)
@@ -100,11 +121,11 @@ def test_symmetric_trees_are_those_of_the_aggregates(spark):
 
 @pytest.mark.parametrize("kind", ["kfold", "timeseries"])
 @pytest.mark.parametrize("name, grid", [("SVR", {"C": [1.0, 10.0], "epsilon": [0.1], "kernel": ["linear", "rbf"]}),
-                                        ("CatBoost", {"iterations": [2, 5], "depth": [2], "learning_rate": [0.3], "l2_leaf_reg": [3]})])
+                                        ("CatBoost", {"iterations": [1, 2], "depth": [2], "learning_rate": [0.3], "l2_leaf_reg": [3]})])
 def test_a_long_panel_has_the_same_scores(spark, monkeypatch, name, grid, kind):
     from panelforge.operators import splits
-    df = _frame(spark, *_rows()).drop("fold").cache()
-    folds = splits.kfold_contiguous(df, ["i"], 3) if kind == "kfold" else splits.timeseries_cv(df, ["i"], 3)
+    df = _frame(spark, *_rows()).drop("fold").coalesce(1).cache()
+    folds = (splits.kfold_contiguous(df, ["i"], 3) if kind == "kfold" else splits.timeseries_cv(df, ["i"], 3)).coalesce(1).cache()
     found = []
     for most in (dealt.TASK_ROWS, 50):
         monkeypatch.setattr(dealt, "TASK_ROWS", most)
